@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate as _leaks, quality as _quality
+from tallyloom.llm import decontaminate as _leaks, mixing as _mixing, quality as _quality, token_store as _tokens
+from tallyloom.llm._store import Workspace
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +21,23 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op6_quality_rules)}
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Workspace(spark, "op10").path
+    _tokens.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return _tokens.index(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_source_mix, op6_quality_rules, op10_token_shards)}
 
 #: DuckDB: exact five-word shingle containment of every item in every document.
 OP2_SQL = r"""
@@ -37,4 +54,21 @@ SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0)::BIGIN
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
-ORACLES = {"op2_decontamination": OP2_SQL}
+#: DuckDB: the target shares, and what the scheduled blocks take of each source's stream, which is in the order of a hash.
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+             md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, 3 * sum(size)::BIGINT AS cap,
+        [1.0, 2.0, 3.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
+r AS (SELECT *, (sum(n) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS level FROM s
+      WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT arg_min(level, cap / w) AS level FROM r WHERE level * w <= cap),
+t AS (SELECT r.source, r.n, least(r.cap::DOUBLE, coalesce(h.level * r.w, r.cap)) AS target,
+        least(round(least(r.cap::DOUBLE, coalesce(h.level * r.w, r.cap)))::BIGINT, r.cap) AS quota FROM r, h),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY (('0x' || k[1:4])::INT) % 64, k, doc_id ROWS UNBOUNDED PRECEDING) - size AS a FROM d)
+SELECT doc_id, size::BIGINT AS size, n AS source_size, target,
+  (CASE WHEN size = 0 THEN 0 ELSE (quota // n) * size + greatest(0, least(a + size, quota % n) - a) END)::BIGINT AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+ORACLES = {"op2_decontamination": OP2_SQL, "op4_source_mix": OP4_SQL}
