@@ -46,7 +46,7 @@ def darts(values: np.ndarray, owner: np.ndarray, n: int, k: int = K) -> np.ndarr
         level = 0
         while len(column):
             level += 1
-            draw = B.mix(column + np.uint64(level) * np.uint64(0xA0761D6478BD642F))
+            draw = B.mix(column + np.uint64(level * 0xA0761D6478BD642F & (1 << 64) - 1))
             rank = rank - np.log(B.unit(draw))
             live = rank <= bound[text]
             column, text, rank, draw = column[live], text[live], rank[live], draw[live]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate as _leaks, mixing as _mixing, quality as _quality, token_store as _tokens
+from tallyloom.llm import decontaminate as _leaks, mixing as _mixing, near_dedup as _near, pii as _pii, quality as _quality, sharding as _sharding, token_store as _tokens
 from tallyloom.llm._store import Workspace
 
 
@@ -16,6 +16,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = _sharding.shard(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
@@ -25,6 +30,16 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.classes(_table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pii.find(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(_pii.joined(F.col("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, _pii.joined(F.col("all_spans")).alias("spans"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -37,7 +52,7 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.index(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_source_mix, op6_quality_rules, op10_token_shards)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_source_mix, op5_shards, op6_quality_rules, op8_near_dedup, op9_personal_data, op10_token_shards)}
 
 #: DuckDB: exact five-word shingle containment of every item in every document.
 OP2_SQL = r"""
@@ -56,7 +71,8 @@ FROM documents LEFT JOIN g USING (doc_id)
 
 #: DuckDB: the target shares, and what the scheduled blocks take of each source's stream, which is in the order of a hash.
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
              md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, 3 * sum(size)::BIGINT AS cap,
         [1.0, 2.0, 3.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),

@@ -32,8 +32,29 @@ def greedy_cuts(sizes: np.ndarray, capacity: int, shards: int) -> list[int] | No
             return None
 
 
+def even_cuts(sizes: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts within the capacity that leave the shards as even as it allows: each is the one nearest to an equal
+    part of the rest, of those that the capacity lets it reach and from which the rest still fits."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    earliest = [len(sizes)]  # from the end: the first atom from which so many shards hold the rest
+    for _ in range(shards - 1):
+        earliest.append(int(np.searchsorted(ends, ends[earliest[-1]] - capacity, "left")))
+    at, cuts = 0, []
+    for left in range(shards - 1, 0, -1):
+        furthest = int(np.searchsorted(ends, ends[at] + capacity, "right")) - 1
+        wish = ends[at] + (ends[-1] - ends[at]) / (left + 1)
+        near = int(np.searchsorted(ends, wish, "left"))
+        if near > at and wish - ends[near - 1] < ends[min(near, len(sizes))] - wish:
+            near -= 1
+        at = min(max(near, earliest[left], at), furthest)
+        if at >= len(sizes):
+            break
+        cuts.append(at)
+    return cuts
+
+
 def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity, and its greedy cuts."""
+    """The smallest capacity with which a greedy walk needs no more than `shards`, and even cuts within it."""
     if not len(sizes):
         return 0, []
     low = max(int(sizes.max()), -(-int(sizes.sum()) // shards))
@@ -44,7 +65,7 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, greedy_cuts(sizes, low, shards)
+    return low, even_cuts(sizes, low, shards)
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:
@@ -69,9 +90,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     # At most `bins` bins and, their sizes adding up to no more than the total, `bins` heavy groups.
     held = atoms.sort("bin", F.col("heavy").asc_nulls_first()).collect()
     _, cuts = minimax_cuts(np.array([r["size"] for r in held], np.int64), shards)
-    number = np.zeros(len(held), int)
-    number[cuts] = 1
-    number = np.cumsum(number)
+    number = np.searchsorted(np.array(cuts, int), np.arange(len(held)), "right")
     placed = [(r["bin"], r["heavy"], int(k)) for r, k in zip(held, number, strict=True)]
     known = spark.createDataFrame(placed, "bin long, heavy long, shard int")
     singles = F.broadcast(known.where("heavy is not null").select(F.col("heavy").alias("key"), F.col("shard").alias("own")))
