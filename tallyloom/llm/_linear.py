@@ -79,7 +79,7 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float]
     return max(float(a), 1e-6) / scale, float(b)
 
 
-def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 1e-4, steps: int = 200, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 3e-4, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative-link model: P(y > j) = sigmoid(w.x - t[j]), one w for all ordered thresholds t. Grades weigh the same in all."""
     row, index, value = x.packed()
     n = np.bincount(y.astype(int), minlength=grades)

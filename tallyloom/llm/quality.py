@@ -16,7 +16,7 @@ from tallyloom.llm import _bytes as B
 from tallyloom.llm._linear import Rows, fit_logistic, platt
 from tallyloom.llm._store import Workspace
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 TRAIN_BYTES = 64 << 20  # of the sample's texts in the driver at once, at most
 REJECT_AT = 0.5
 BITS = 14
@@ -133,9 +133,12 @@ def _sparse(texts: list[str]) -> Rows:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a sample of at most `rows` labelled documents: those with the lowest hash of their id."""
+    """Texts and labels of a sample of at most `rows` labelled documents: of each of the labels 0 and 1, half as many with the lowest hash of their id."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(target).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(rows)
+    chosen = None
+    for y in (0, 1):
+        some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
+        chosen = some if chosen is None else chosen.unionByName(some)
     got = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(chosen), "id")
     sample = got.groupBy("id", "y").agg(F.min("t").alias("t")).sort(F.xxhash64("id"), "id")
     texts, y, size = [], [], 0

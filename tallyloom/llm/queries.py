@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontaminate as _leaks, mixing as _mixing, near_dedup as _near, pii as _pii, quality as _quality, sharding as _sharding, token_store as _tokens
+from tallyloom.llm import decontaminate as _leaks, html_extract as _html, line_dedup as _lines, mixing as _mixing, near_dedup as _near, pii as _pii, quality as _quality, sharding as _sharding, token_store as _tokens, toxicity as _toxicity
 from tallyloom.llm._store import Workspace
 
 
@@ -12,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -26,10 +30,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.score(docs, _quality.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return _toxicity.score(docs, _toxicity.train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near.classes(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +65,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens.index(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_source_mix, op5_shards, op6_quality_rules, op8_near_dedup, op9_personal_data, op10_token_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_decontamination, op3_html_text, op4_source_mix, op5_shards, op6_quality_rules, op7_toxicity, op8_near_dedup, op9_personal_data, op10_token_shards
+    )
+}
 
 #: DuckDB: exact five-word shingle containment of every item in every document.
 OP2_SQL = r"""

@@ -21,6 +21,7 @@ import hashlib
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,28 @@ TRAIN_DOCS = 600  # documents of the dictionary's sample, those with the lowest
 TRAIN_BYTES = 6 << 20
 DICTIONARY_BYTES = 64 << 10
 SHARD_IDS = 3 << 20
-CACHE = 800_000  # chunks whose ids a worker remembers
+CACHE = 300_000  # words whose ids a worker remembers
 LEVEL = 3
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_WORD = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)").fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters by which a byte-level BPE writes bytes: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts. A byte-level BPE never joins white space to what stands before it, so the ids of a
-    text are those of its chunks "white space, then other characters"; repeated chunks are encoded once."""
+    """Ids of whole texts. A byte-level BPE never joins white space to what stands before it, so the ids of a text
+    are those of its chunks: of its words with the single space or line feed before each, or, where several spaces
+    or others stand together, of its runs "white space, then other characters". Repeated chunks are encoded once. A
+    word of Latin letters and the signs after it are two pieces; such a word goes to the tokenizer's model at once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,23 +66,85 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.cache: dict[str, bytes] = {}
+        self.byte_level = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
+        self.letters = _byte_letters()
+        self.words: dict[str, bytes] = {}  # ids of " " and the key, or of the key if it begins with a line feed
+        self.chunks: dict[str, bytes] = {}  # ids of the key
+        self.marks = {m: self._ids([m])[0] for m in ("", ".", ",", "\n")} if self.byte_level else {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_words(self, new: set[str]) -> None:
+        words, marks, tokenize, pack_ = self.words, self.marks, self.tokenizer.model.tokenize, "I" if self.wide else "H"
+        hard, stems, feed = [], {}, self.marks["\n"]
+        for w in new:
+            m = _WORD(w)
+            if m is None:
+                hard.append(w)
+                continue
+            stem, mark = m.groups()
+            ids = words.get(stem) or stems.get(stem)
+            if ids is None:
+                body = stem if stem[0] != "\n" else stem[1:]
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(self.letters)
+                if stem[0] == "\n":
+                    ids = feed + array(pack_, [t.id for t in tokenize(body)]).tobytes()
+                else:
+                    ids = array(pack_, [t.id for t in tokenize("\u0120" + body)]).tobytes()
+                stems[stem] = ids
+            if mark:
+                tail = marks.get(mark)
+                if tail is None:
+                    tail = self._ids([mark])[0]
+                    if len(marks) < 10_000:
+                        marks[mark] = tail
+                ids += tail
+            words[w] = ids
+        for first in range(0, len(hard), 20_000):
+            part = hard[first : first + 20_000]
+            words.update(zip(part, self._ids([w if w[0] == "\n" else " " + w for w in part]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id."""
-        chunks = [None if _ODD_SPACE.search(t) else _CHUNK.findall(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = list({c for own in chunks if own is not None for c in own if c not in cache})
-        for first in range(0, len(new), 20_000):
-            part = new[first : first + 20_000]
-            cache.update(zip(part, self._ids(part), strict=True))
-        get = cache.__getitem__
-        return [self._ids([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, chunks, strict=True)]
+        if not self.byte_level:
+            return self._ids(texts)
+        for cache in (self.words, self.chunks):
+            if len(cache) > CACHE:
+                cache.clear()
+        get, out, new, late = self.words.get, [b""] * len(texts), set(), []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            own = None if _OTHER_SPACE.search(t) else t.replace("\n", " \n").split(" ")
+            if own is None or "" in own or "\n" in own:  # other spaces, or several together
+                out[i] = self._ids([t])[0] if _ODD_SPACE.search(t) else self._by_chunks(_CHUNK.findall(t))
+                continue
+            first = self._by_chunks(own[:1])
+            own[0] = None
+            found = list(map(get, own))
+            found[0] = first
+            if None in found:
+                missing = [k for k, x in enumerate(found) if x is None]
+                new.update([own[k] for k in missing])
+                late.append((i, own, found, missing))
+            else:
+                out[i] = b"".join(found)
+        self._learn_words(new)
+        known = self.words
+        for i, own, found, missing in late:
+            for k in missing:
+                found[k] = known[own[k]]
+            out[i] = b"".join(found)
+        return out
+
+    def _by_chunks(self, own: list[str]) -> bytes:
+        known = self.chunks
+        new = list({c for c in own if c not in known})
+        if new:
+            known.update(zip(new, self._ids(new), strict=True))
+        return b"".join([known[c] for c in own])
 
 
 def encoder(path: str) -> Encoder:
@@ -79,13 +153,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _texts(column: pa.Array, limit: int = 4 << 20):
+def _texts(column: pa.Array, limit: int = 1 << 20):
     """(first, texts) of runs of about `limit` characters; null counts as empty."""
     first, own, size = 0, [], 0
-    for i in range(len(column)):
-        t = column[i].as_py() or ""
-        own.append(t)
-        size += len(t)
+    for i, t in enumerate(column.to_pylist()):
+        own.append(t or "")
+        size += len(own[-1])
         if size >= limit:
             yield first, own
             first, own, size = i + 1, [], 0
