@@ -8,10 +8,13 @@ K (ln K + 3) of them per text are made, so that a long text costs hardly more th
 dart of each coordinate is the signature; two texts agree in a coordinate with their similarity's probability.
 BANDS bands of ROWS coordinates find a pair at 0.8 with probability 0.9999.
 
-Exact copies are one node (by md5 of the text). In each band bucket the members are compared with one member
-(of another choice in each round), which keeps the pairs in proportion to the members. What still lies in
-different classes of one bucket after ROUNDS rounds is then compared pair by pair, so that no link between
-classes is lost. All comparisons are exact, on the sorted shingle hashes. Classes are the connected components
+Exact copies are one node (by md5 of the text). In each band bucket the members are first compared with one member,
+which keeps the pairs in proportion to the members. A bucket whose members then lie in several classes is open. For a
+link between two classes, a member must share at least that similarity's part of its own weight with other classes'
+members of open buckets: those that don't are certain to have no such link and leave, which empties large groups of
+loosely similar texts, as these differ from all others by shingles of their own. The others are compared with the
+bucket's most central member, whose shingles are the most common. What then is left is compared with all that share one
+of its rarest shingles (a prefix filter, which is exact), so that no link between classes is lost. All comparisons are exact, on the sorted shingle hashes. Classes are the connected components
 of the verified links, found by minimum labels with pointer jumping over written tables.
 """
 
@@ -19,14 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyloom.llm import _bytes as B
 from tallyloom.llm._store import Workspace
 
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-ROUNDS = 2
+STARS = 1  # rounds of comparison with the most central member of each open bucket
 SHINGLE = 5
 SIMILARITY = 0.8
 
@@ -145,14 +148,14 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k
                 order = np.argsort(owner, kind="stable")
                 values, edges = values[order], np.searchsorted(owner[order], np.arange(b - a + 1))
                 sets = [weighted(values[edges[i] : edges[i + 1]]) for i in range(b - a)]
-                grams = pa.array([s[0].tobytes() for s in sets], pa.binary())
-                counts = pa.array([None if (s[1] == 1).all() else s[1].astype("<u4").tobytes() for s in sets], pa.binary())
+                grams = pa.array([s[0].view(np.int64) for s in sets], pa.list_(pa.int64()))
+                counts = pa.array([None if (s[1] == 1).all() else s[1].astype(np.int32) for s in sets], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), grams, counts], names=["node", "grams", "counts"])
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(body)).alias("node"), body.alias("text"))
     on = (F.col("r.node") == F.col("w.node")) & F.col("r.id").eqNullSafe(F.col("w.rep"))
-    return rows.alias("r").join(wanted.alias("w"), on, "left_semi").select("node", "text").mapInArrow(scan, "node binary, grams binary, counts binary").dropDuplicates(["node"])
+    return rows.alias("r").join(wanted.alias("w"), on, "left_semi").select("node", "text").mapInArrow(scan, "node binary, grams array<long>, counts array<int>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -161,13 +164,13 @@ def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     right = shingles.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("counts").alias("cb"))
 
     def one(grams, counts):
-        values = np.frombuffer(grams, np.uint64)
-        return values, np.ones(len(values), np.int64) if counts is None else np.frombuffer(counts, "<u4").astype(np.int64)
+        values = grams.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        return values, np.ones(len(values), np.int64) if counts.values is None else counts.values.to_numpy(zero_copy_only=False).astype(np.int64)
 
     def scan(batches):
         for batch in batches:
             ga, ca, gb, cb = (batch.column(i) for i in range(2, 6))
-            out = [similarity(one(ga[i].as_py(), ca[i].as_py()), one(gb[i].as_py(), cb[i].as_py())) >= least - 1e-12 for i in range(batch.num_rows)]
+            out = [similarity(one(ga[i], ca[i]), one(gb[i], cb[i])) >= least - 1e-12 for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "ca", "gb", "cb").mapInArrow(scan, "a binary, b binary, linked boolean")
@@ -225,28 +228,64 @@ def _links(space: Workspace, docs: DataFrame, nodes: DataFrame, doc_id: str, tex
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     shingles = space.table(_shingle_table(docs, wanted, doc_id, text, k), "shingles")
     checked = space.table(_verified(pairs, shingles, least), "checked")
-    for turn in range(1, ROUNDS + 1):
+    for turn in range(STARS + 1):
         labels = components(space, checked.where("linked"))
         owned = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = owned.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("c"), F.col("label").alias("cl"))).alias("s")).where("lo != hi")
-        open_ = space.table(owned.join(mixed.select("key", F.col("s.c").alias("c"), F.col("s.cl").alias("cl")), "key"), "open")
+        mixed = owned.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
+        open_ = space.table(owned.join(mixed, "key", "left_semi"), "open")
         space.drop(labels)
-        last = turn == ROUNDS
-        if last:
-            x, y = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-            found = x.join(y, "key").where("la != lb and a < b").select("a", "b")
+        if not open_.limit(1).count():
+            break
+        grams, able = _shared_grams(space, open_, shingles, least)
+        if turn < STARS:
+            rest = open_.join(able, "node")
+            one = F.struct(F.col("node").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("common").alias("ca"))
+            centers = rest.groupBy("key").agg(F.max(F.struct("central", one.alias("one"))).alias("m")).select("key", "m.one.*")
+            # What two members share is no more than what either shares with other classes.
+            near = (F.col("la") != F.col("label")) & (F.least("ca", "common") >= least / (1 + least) * (F.col("wa") + F.col("weight")) - 1e-9)
+            pairs = rest.join(centers, "key").where(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         else:
-            found = open_.where("label != cl").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-        fresh = space.table(found.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.limit(1).count():
-            if last or not open_.limit(1).count():
-                break
-            continue
-        checked = space.table(checked.unionByName(_verified(fresh, shingles, least)), "checked")
+            pairs = _left_pairs(grams, able, least)
+        fresh = space.table(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
+        if fresh.limit(1).count():
+            checked = space.table(checked.unionByName(_verified(fresh, shingles, least)), "checked")
     space.drop(shingles, members)
     return checked.where("linked").select("a", "b")
 
 
+def _shared_grams(space: Workspace, open_: DataFrame, shingles: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(node, label, gram, w and df of the shingles that several classes have; node, weight, common (what it shares
+    with other classes) and central (how common its shingles are) of those members that share enough)."""
+    nodes = open_.select("node", "label").distinct()
+    grams = nodes.join(shingles, "node").select("node", "label", F.posexplode("grams").alias("i", "gram"), "counts")
+    grams = space.table(grams.select("node", "label", "gram", F.coalesce(F.element_at("counts", F.col("i") + 1), F.lit(1)).alias("w")), "grams")
+    shared = grams.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df")).where("lo != hi").select("gram", "df")
+    weights = grams.groupBy("node").agg(F.sum("w").alias("weight"))
+    met = space.table(grams.join(shared, "gram"), "shared")
+    common = met.groupBy("node").agg(F.sum("w").alias("common"), F.sum(F.col("w") * F.log2("df")).alias("central"))
+    enough = common.join(weights, "node").where(F.col("common") >= least * F.col("weight") - 1e-9)
+    able = space.table(enough.select("node", "weight", "common", (F.col("central") / F.col("weight")).alias("central")), "able")
+    space.drop(grams)
+    return met, able
+
+
+def _left_pairs(grams: DataFrame, able: DataFrame, least: float) -> DataFrame:
+    """All pairs of different classes that can reach the similarity, by a prefix filter.
+
+    A text's shingles are taken from the rarest on. If the first that both texts have comes after a weight of W in one of
+    them, they share no more than the rest of it; so only the rare beginning of the less central text is looked up.
+    """
+    rows = grams.join(able, "node")
+    order = W.partitionBy("node").orderBy("df", "gram").rowsBetween(W.unboundedPreceding, 0)
+    ranked = rows.withColumn("after", F.col("common") - F.sum("w").over(order) + F.col("w")).where(F.col("after") >= least * F.col("weight") - 1e-9)
+    x = ranked.select("gram", "after", F.col("node").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("central").alias("ca"))
+    y = rows.select("gram", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("weight").alias("wb"), F.col("central").alias("cb"), "common")
+    first = (F.col("ca") < F.col("cb")) | ((F.col("ca") == F.col("cb")) & (F.col("a") < F.col("b")))
+    fits = F.least("after", "common") >= least / (1 + least) * (F.col("wa") + F.col("wb")) - 1e-9
+    met = x.join(y, "gram").where((F.col("la") != F.col("lb")) & first & fits)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, with all its columns: the one with the least id, of several such rows one.
 
