@@ -245,6 +245,8 @@ def labelled_pages(n: int = 400, seed: int = 7) -> Iterator[tuple[str, list[str]
             parts.append(paragraph())
             if r.random() < 0.15:
                 parts.append(furniture(r.choice(names)))
+        if r.random() < 0.3:
+            parts.insert(r.randint(0, len(parts)), r.choice([f"<p hidden>{said(1, 20)}</p>", f"<div style='display: none'>{said(1, 30)}</div>", f"<p aria-hidden='true'>{said(1, 20)}</p>"]))
         if r.random() < 0.2:
             parts.append(f"<aside>{said(3, 40)}</aside>")
         if r.random() < 0.1:

@@ -1,0 +1,528 @@
+"""Each operator against brute force, and on what tables may hold: nulls, empty and long texts, ties, repeated rows, other columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, pii, quality, sharding, token_store, toxicity
+from tallyloom.llm.queries import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string"
+LONG = "lorem ipsum " * 20_000
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def grams(text, k=5):
+    w = words(text)
+    return collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else collections.Counter([tuple(w)] if w else [])
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    r = random.Random(4)
+    said = lambda n: " ".join(r.choice(["ab", "cd", "efg", "hij", "é", "kl."]) + str(r.randint(0, 60)) for _ in range(n))
+    base = said(80)
+    edited = base.split()
+    edited[10] = "other"
+    rows = [(1, base, "a"), (2, base, "a"), (3, " ".join(edited), "b"), (4, None, None), (5, "", "b"), (None, "null id text " * 3, "a"), (None, None, "b"), (7, said(30) + "\n\n" + said(40), "c"), (7, said(25), "c"), (8, "one", "c"), (8, "one", "c"), (9, LONG, "a"), (10, " \t\n ", "é")]
+    rows += [(100 + i, said(r.randint(1, 60)), r.choice(["a", "b", "c", "zz"])) for i in range(60)]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [tuple(r) for r in docs.collect()]
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+def brute_lines(texts, least):
+    """Lines left of each (id, text): a line goes if a window of lines around it with `least` words stands at an earlier place."""
+    lines = {k: [x for x in k[1].split("\n") if words(x)] for k in texts}
+    seen, out = {}, {}
+    windows = {k: [(a, b) for a in range(len(v)) for b in range(a + 1, len(v) + 1) if sum(len(words(x)) for x in v[a:b]) >= least] for k, v in lines.items()}
+    for k in texts:
+        for a, b in windows[k]:
+            seen.setdefault(tuple(lines[k][a:b]), (k, a))
+    for k in texts:
+        gone = {j for a, b in windows[k] if seen[tuple(lines[k][a:b])] != (k, a) for j in range(a, b)}
+        out[k] = (len(lines[k]), len(gone), [x for j, x in enumerate(lines[k]) if j not in gone])
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 8, 15])
+def test_line_dedup_is_exact(spark, least):
+    r = random.Random(least)
+    pool = ["a b c", "d e", "f g h i", "", "x", "q r s t u v", " ", "long line of nine words is this one here"]
+    df = spark.createDataFrame([(r.choice([None, *range(30)]), "\n".join(r.choice(pool) for _ in range(r.randint(0, 12)))) for _ in range(70)] + [(1, None), (2, "\n\n")], "doc_id long, text string")
+    hashes = {x.t: x.h for x in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    keys = sorted({(x.doc_id, x.text or "") for x in df.collect()}, key=lambda k: (k[0] is None, k[0] or 0, hashes[k[1]]))
+    expected = brute_lines(keys, least)
+    got = line_dedup.dedup_lines(df.withColumn("was", F.coalesce("text", F.lit(""))), least=least, keys=["doc_id", "was"]).collect()
+    assert len(got) == df.count()
+    for x in got:
+        assert (x.n_lines, x.n_removed, [y for y in x.text.split("\n") if words(y)]) == expected[(x.doc_id, x.was)]
+
+
+def test_line_dedup_on_anything(docs, empty):
+    assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(empty).count() == 0
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_containment_is_exact(spark):
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    said = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items = [(i, said(r.choice([3, 5, 6, 9, 14, 30, 60, 200]))) for i in range(40)]
+    texts = []
+    for i in range(150):
+        body = said(r.choice([0, 10, 300, 3000]))
+        for _ in range(r.randint(0, 2)):
+            item = list(r.choice(items)[1])
+            for _ in range(r.choice([0, 0, 1, 3])):
+                item[r.randrange(len(item))] = "edit"
+            at = r.randint(0, len(body))
+            body[at:at] = item
+        texts.append((i, " ".join(body)))
+    sets = {i: set(grams(" ".join(w))) for i, w in items if len(w) >= 5}
+    expected = {}
+    for d, t in texts:
+        own = set(grams(t)) if len(words(t)) >= 5 else set()
+        expected[d] = sorted(i for i, s in sets.items() if len(s & own) / len(s) >= 0.8)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(None, "x y z a b c"), (99, None)], "item_id long, text string")
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x.doc_id: x for x in decontaminate.leaks(df, table).collect()}
+    assert {d: list(x.items) for d, x in got.items()} == expected and any(expected.values())
+    blocks = {x.doc_id: list(x.items) for x in decontaminate.leaks(df, table, block_bytes=20_000).collect()}
+    assert blocks == expected
+    kept = {x.doc_id for x in decontaminate.decontaminate(df, table).collect()}
+    assert kept == {d for d, i in expected.items() if not i} == {x.doc_id for x in decontaminate.decontaminate(df, table, block_bytes=20_000).collect()}
+
+
+def test_decontamination_on_anything(spark, docs, empty):
+    items = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    none = items.limit(0)
+    assert decontaminate.leaks(docs, items).where("contaminated").count() == 1
+    assert decontaminate.leaks(docs, none).count() == docs.count() and decontaminate.leaks(empty, items).count() == 0
+    clash = docs.withColumn("items", F.lit(1)).withColumn("item_id", F.lit(2)).withColumn("containment", F.lit("x"))
+    assert decontaminate.decontaminate(clash, items).columns == clash.columns
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tree():
+    return html_extract.train()
+
+
+@pytest.mark.parametrize("page, expected", [
+    (None, ""), ("", ""), ("plain words only, not many", None), ("<p>unclosed <b>bold", None),
+    ("<body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>Title &amp; co</h1><p>First   line&nbsp;here.<br>Next</p><p>x</p></article><footer>&copy; me</footer>", "Title & co\nFirst line here.\nNext\nx"),
+    ("<article><p>Text</p><div class='ad'>Buy this now</div><script>var a='</p>'</script><style>p{}</style><aside>See also other things</aside><form>Your mail <input></form><p>End</p></article>", "Text\nEnd"),
+    ("<main><p>Long enough main text of the page stands here</p></main><section id='comments'><p>Nice read, I liked all of it very much, thanks for the work</p></section>", "Long enough main text of the page stands here"),
+    ("<article><p>Cut off in a tag <a href=\"/x", "Cut off in a tag"), ("<article><!-- no --><p>A</p><!-- open", "A"), ("<article><p hidden>no</p><p>yes it is</p></article>", "yes it is"),
+])
+def test_main_text(tree, page, expected):
+    got = html_extract.main_text(page, tree)
+    assert expected is None or got == expected
+
+
+def test_tree_on_held_out_pages(tree):
+    wrong = total = 0
+    for page in html_extract.labelled_pages(150, seed=1234):
+        found = html_extract.blocks(page)
+        good = tree.predict(html_extract.features(found)) >= 0.5
+        wrong += sum(b.text.startswith("M") != g for b, g in zip(found, good))
+        total += len(found)
+    assert wrong / total < 0.03
+
+
+def test_pages_of_the_table(spark, sf_dir, tree):
+    import html
+
+    got = {x.page_id: x for x in html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"], tree=tree).collect()}
+    for x in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        inner = x.html.split("<article>", 1)[1].split("</article>", 1)[0]
+        lines = re.sub(r"</?(p|h\d|br)[^>]*>", "\n", re.sub(r"</?b>", "", inner)).split("\n")
+        expected = "\n".join(y for y in (re.sub(r"\s+", " ", html.unescape(z)).strip() for z in lines) if y)
+        assert got[x.page_id].text == expected and got[x.page_id].n_chars == len(expected)
+
+
+def test_html_on_anything(spark):
+    pages = spark.createDataFrame([(1, None, "x"), (None, "", "x"), (2, "<p>" * 5000 + "deep", "x"), (2, "<a href='" * 3000, "x")], "page_id long, html string, text string")
+    assert html_extract.extract(pages, ["page_id"]).count() == 4 and html_extract.extract(pages.limit(0), ["page_id"]).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_mix(docs, rows, empty):
+    got = mixing.mix(docs, block=16).collect()
+    assert len(got) == len(rows)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    target, open_, rest = {}, set(names), float(sum(sizes.values()))
+    while True:  # resharing, step by step
+        level = rest / sum(weight[s] for s in open_) if open_ else 0
+        over = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            rest -= target[s]
+        open_ -= over
+    target |= {s: level * weight[s] for s in open_}
+    by_size = collections.defaultdict(set)
+    for x in got:
+        assert 0 <= x.taken <= 3 * x["size"]
+        by_size[x.source_size].add(round(x.target, 6))
+    for s in names:
+        assert any(abs(target[s] - t) < 1e-3 for t in by_size[sizes[s]])
+    assert abs(sum(x.taken for x in got) - sum(target.values())) <= len(names)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5), block=16).collect()))
+    assert mixing.mix(empty).count() == 0
+
+
+def test_schedule_is_low_discrepancy(spark):
+    sizes = spark.createDataFrame([("a", 100_000), ("b", 50_000), ("c", 800_000), (None, 50_000)], "source string, source_size long")
+    sources = mixing.targets(sizes)
+    slots = mixing.schedule(sources, 1000).orderBy("slot").collect()
+    share = {r.source: r.target / 1e6 for r in sources.collect()}
+    seen = collections.Counter()
+    for i, s in enumerate(slots):
+        assert s.block == seen[s.source]
+        seen[s.source] += 1
+        if i + 1 < 0.9 * len(slots):
+            assert all(abs(seen[k] - share[k] * (i + 1)) <= 8 for k in share)
+    assert all(seen[r.source] == -(-round(r.target) // 1000) for r in sources.collect())
+
+
+def test_apply_mix(docs):
+    clash = docs.withColumn("size", F.lit("x")).withColumn("begin", F.lit(0))
+    out = mixing.apply_mix(clash)
+    assert out.columns == clash.columns and max(x["count"] for x in out.where("doc_id > 90").groupBy("doc_id").count().collect()) <= 3
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_minimax_is_least():
+    r = random.Random(3)
+    for _ in range(500):
+        sizes = np.array([r.randint(1, 30) for _ in range(r.randint(1, 30))], np.int64)
+        shards = r.randint(1, 8)
+        capacity, cuts = sharding.minimax_cuts(sizes, shards)
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        least = [0] + [10**9] * len(sizes)
+        for _ in range(shards):
+            least = [min(max(least[i], sums[j] - sums[i]) for i in range(j + 1)) for j in range(len(sizes) + 1)]
+        edges = [0, *cuts, len(sizes)]
+        assert capacity == least[-1] and edges == sorted(edges) and len(cuts) < shards
+        assert max(sizes[a:b].sum() for a, b in zip(edges, edges[1:])) <= capacity
+
+
+def test_shards(docs, rows, empty):
+    got = sharding.shard(docs).collect()
+    body = lambda t: (t or "").encode()
+    assert sorted((str(x.doc_id), x["size"], x.text_crc32) for x in got) == sorted((str(i), len(body(t)) + 8, zlib.crc32(body(t))) for i, t, _ in rows)
+    slots = collections.defaultdict(list)
+    for x in got:
+        slots[x.shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(24))
+    of_text = collections.defaultdict(set)
+    for x in got:
+        of_text[x.text_crc32].add(x.shard)
+    assert all(len(v) == 1 for v in of_text.values())
+    assert sharding.shard(empty).count() == 0
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def base_counts(text):
+    w = words(text)
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for x in lines:
+        if words(x):
+            dup += x in seen
+            seen.add(x)
+    at = collections.defaultdict(list)
+    for i in range(len(w) - 7):
+        at[tuple(w[i : i + 8])].append(i)
+    covered = {j for v in at.values() if len(v) > 1 for i in v for j in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered)
+
+
+def test_quality_counts(spark, docs):
+    extra = spark.createDataFrame([(50, "a b c d e f g h " * 4, "x"), (51, "é#é ü|\né#é ü|\n\n\nx", "x"), (52, "a b c d e f g h a b c d e f g h i", "x")], SCHEMA)
+    df = docs.unionByName(extra)
+    got = quality.score(df.withColumn("was", F.col("text")), None, ["doc_id", "was"]).collect()
+    assert len(got) == df.count()
+    for x in got:
+        n = base_counts(x.was)
+        assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == n
+        assert x.base_failed == (n[0] < 20 or 100 * n[4] > 30 * n[0]) and x.kept == (not x.base_failed) and x.p_low is None
+
+
+def test_quality_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    model = quality.train(docs, labels.where("doc_id % 3 != 0"))
+    got = quality.score(docs, model, ["doc_id"]).join(held, "doc_id").where("not base_failed")
+    wrong = got.where("kept != (quality = 1)").count()
+    assert wrong / got.count() < 0.03
+    assert got.where("quality = 1").agg(F.avg("p_low")).first()[0] < 0.1 < 0.6 < got.where("quality = 0").agg(F.avg("p_low")).first()[0]
+
+
+def test_quality_on_anything(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (8, None, 0), (999, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, labels) is None
+    clash = docs.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit(0))
+    assert quality.keep_good(clash, labels).columns == clash.columns
+    assert quality.score(empty, None, ["doc_id"]).count() == 0
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = labels.where("doc_id % 4 = 0")
+    model = toxicity.train(docs, labels.where("doc_id % 4 != 0"))
+    assert (np.diff(model.thresholds) > 0).all()
+    got = toxicity.score(docs, model, ["doc_id"]).join(held.withColumnRenamed("toxic", "label"), "doc_id").cache()
+    caught = got.where("label = 1 and toxic").count() / got.where("label = 1").count()
+    false = got.where("label = 0 and toxic").count() / got.where("label = 0").count()
+    assert caught > 0.9 and false < 0.03
+    assert got.where("severity < 0 or severity > 2 or severity < p_toxic - 1e-9").count() == 0
+
+
+def test_toxicity_on_anything(spark, docs, empty):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(100, 160)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs, model, ["doc_id"]).where("severity is not null").count() == docs.count()
+    assert toxicity.score(docs, None, ["doc_id"]).where("severity is null").count() == docs.count() and toxicity.score(empty, model, ["doc_id"]).count() == 0
+    assert toxicity.train(docs, labels.where("toxic = 0")) is None
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------------
+
+
+def weighted_jaccard(a, b):
+    both = sum(min(v, b[k]) for k, v in a.items() if k in b)
+    return both / (sum(a.values()) + sum(b.values()) - both) if a or b else 0.0
+
+
+def brute_classes(rows):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [grams(t) for _, t, *_ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if (rows[i][1] or "") == (rows[j][1] or "") or weighted_jaccard(sets[i], sets[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(i)
+    out = {}
+    for members in groups.values():
+        ids = [rows[i][0] for i in members if rows[i][0] is not None]
+        for i in members:
+            out[i] = (min(ids) if ids else None, len(members))
+    return out
+
+
+@pytest.fixture(scope="module")
+def near(spark):
+    r = random.Random(12)
+    rows = []
+    for _ in range(6):  # clouds of edited copies, of edited copies of those, and exact copies
+        base = [f"w{r.randint(0, 300)}" for _ in range(r.choice([30, 80, 150]))]
+        pool = [base]
+        for _ in range(25):
+            copy = list(r.choice(pool))
+            for _ in range(r.choice([0, 1, 1, 2, 4, 8])):
+                copy[r.randrange(len(copy))] = f"e{r.randint(0, 999)}"
+            pool.append(copy)
+        rows += [" ".join(p) for p in pool]
+    rows += ["x y " * 30, "x y " * 31, "a b", "a b c", "", None, " "]
+    r.shuffle(rows)
+    return spark.createDataFrame([(1000 - i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+
+
+def test_near_classes_are_the_components(near):
+    rows = [tuple(x) for x in near.collect()]
+    expected = brute_classes(rows)
+    got = {x.doc_id: (x.class_id, x.class_size) for x in near_dedup.classes(near).collect()}
+    assert got == {rows[i][0]: v for i, v in expected.items()}
+    kept = sorted(x.doc_id for x in near_dedup.keep_one(near).collect())
+    assert kept == sorted({v[0] for v in expected.values()})
+
+
+def test_near_dedup_on_anything(docs, rows, empty):
+    got = near_dedup.classes(docs).collect()
+    expected = brute_classes(rows)
+    assert sorted(map(str, ((x.doc_id, x.class_id, x.class_size) for x in got))) == sorted(map(str, ((rows[i][0], *v) for i, v in expected.items())))
+    clash = docs.withColumn("node", F.lit("x")).withColumn("class_id", F.lit(0)).withColumn("bands", F.lit(1))
+    assert near_dedup.keep_one(clash).columns == clash.columns
+    assert near_dedup.classes(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
+
+
+def test_darts_estimate_similarity():
+    r = random.Random(2)
+    a = [r.randint(0, 10**12) for _ in range(400)]
+    b = a[:320] + [r.randint(0, 10**12) for _ in range(80)]
+    values = np.array(a + b + a[:3] * 5, np.uint64)
+    owner = np.repeat([0, 1, 2], [400, 400, 15])
+    sig = near_dedup.darts(values, owner, 3, k=2000)
+    assert abs((sig[0] == sig[1]).mean() - 320 / 480) < 0.05 and (sig > 0).all()
+    alone = near_dedup.darts(np.array(a, np.uint64), np.zeros(400, int), 1, k=2000)
+    assert (alone[0] == sig[0]).all()
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------
+
+#: The base patterns as the contract states them.
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in found.split("."))
+    if kind == "card":
+        total = sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
+        return 14 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 10 <= len(digits) <= 15
+
+
+def base_spans(text):
+    return sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in re.finditer(BASE[kind], text or "") if passes(kind, m[0]))
+
+
+def test_personal_data_base(spark, docs):
+    r = random.Random(1)
+    texts = ["a@b.c x@y", "a@b.c%d@e.f", "1.2.3.4.5.6.7.8 256.1.1.1 001.2.3.4", "é +1 (988) 555-2485 ñ 4111 1111 1111 1111 4111-1111-1111-1112", "x" * 50_000 + "@", "9" * 30_000, "a@b." + "c." * 10_000 + "d", "a@b.cc " * 2000, None, ""]
+    texts += ["".join(r.choice("ab1294@@..+- ()é") for _ in range(300)) for _ in range(100)]
+    got = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for x in got:
+        expected = base_spans(texts[x.doc_id])
+        assert [(s.start, s.kind, s.end) for s in x.base_spans] == expected
+        assert (x.n_email, x.n_ip, x.n_card, x.n_phone) == tuple(sum(s[1] == k for s in expected) for k in range(4))
+    assert pii.find(docs).count() == docs.count() and pii.find(docs.limit(0)).count() == 0
+
+
+def test_contexts_find_what_no_rule_knows(spark):
+    seeds = [(i, f"Reach the client by card 4111 1111 1111 1111 or account no {4000000000000002 + 0 * i} now") for i in range(3)]
+    texts = [(10 + i, f"please call my number +1 (988) 555-24{i:02d} thanks") for i in range(12)] + [(30 + i, f"please call my number 988-555-77{i:02d}x thanks") for i in range(3)] + [(40, "built in the year 20240101a of that"), *seeds]
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert all(got[30 + i].n_other == 1 for i in range(3)) and got[40].n_other == 0
+    text = dict(texts)[30]
+    span = [s for s in got[30].all_spans if s.kind == 4][0]
+    assert text[span.start : span.end] == "988-555-7700x"
+    assert all(set(map(tuple, x.base_spans)) <= set(map(tuple, x.all_spans)) for x in got.values())
+
+
+def test_personal_data_digest(spark, sf_dir):
+    from tallyloom.llm.queries import op9_personal_data
+
+    for x in op9_personal_data(spark, sf_dir).collect():
+        text = TEXTS.setdefault(sf_dir, {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()})[x.doc_id]
+        line = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base_spans(text))
+        assert x.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+TEXTS: dict = {}
+
+
+def test_redact(spark):
+    got = pii.redact(spark.createDataFrame([(1, "mail a@b.cc or +1 (988) 555-2485")], "doc_id long, text string")).first().text
+    assert got == "mail <email> or <phone>"
+
+
+# 10 --------------------------------------------------------------------------------------------------------------------
+
+
+def library_ids(texts, path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_equals_library():
+    import pyarrow as pa
+
+    path, r = tokenizer_path(), random.Random(6)
+    pool = list("abZ  \n\n\t\r.,!'1é ñ中\x1c\x85\xa0 <|endoftext|>'s") + ["　", "don't", " I'll", "  ", "ab", "cd", " a", " b", "\nz", "—", "“q”"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(4000)] + ["", " ", "\n", "a ", LONG, "x" * 30_000]
+    texts += ["".join(r.choice(["ab", " cd", " x.", "\ny", " é,", " don't", " 12", " (a)", "\n\n"]) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    got = token_store.Encoder(path).encode(pa.array([*texts, None]))
+    assert [x.tolist() for x in got] == [*library_ids(texts, path), []]
+    other = token_store.Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert [x.tolist() for x in other.encode(pa.array(["Hello, World", "a  b"]))] == library_ids(["Hello, World", "a  b"], tokenizer_path("word_bpe_49k.json"))
+
+
+def test_round_trip(spark, docs, rows, tmp_path):
+    folder, path = f"file://{tmp_path}/tokens", tokenizer_path()
+    token_store.write(docs, folder, path, shard_ids=500)
+    ids = library_ids([t or "" for _, t, _ in rows], path)
+    expected = sorted(((i is not None, i or 0, (t or "").encode()), [*x, 2]) for (i, t, _), x in zip(rows, ids))
+    got = token_store.read(spark, folder).orderBy("range", "sequence", "place").collect()
+    assert [x.doc_id for x in got] == [k[1] if k[0] else None for k, _ in expected]
+    assert [list(x.ids) for x in got] == [v for _, v in expected]
+    start = 0
+    index = token_store.index(spark, folder).orderBy("start").collect()
+    for x, (_, v) in zip(index, expected, strict=True):
+        assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(v), zlib.crc32(np.array(v, "<u4").tobytes()))
+        start += len(v)
+    assert spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/shards").count() > 3
+
+
+def test_shared_dictionary(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    folder = f"file://{tmp_path}/tokens"
+    dictionary = token_store.write(docs, folder, tokenizer_path())
+    assert len(dictionary) > 1000 and token_store.read_dictionary(spark, folder) == dictionary
+    data = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/shards").first().content)
+    shard = token_store.Shard(data, dictionary)
+    assert shard.digest == hashlib.sha256(dictionary).digest() and len(shard.document(3)) == shard.counts[3]
+    with pytest.raises(ValueError):
+        token_store.Shard(data, b"another")
+    assert len(data) < 2 * shard.total
+
+
+def test_token_store_on_an_empty_table(spark, empty, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    token_store.write(empty, folder, tokenizer_path())
+    assert token_store.index(spark, folder).count() == 0
