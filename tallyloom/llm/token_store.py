@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from tallyloom.llm import _bytes as B
 from tallyloom.llm._store import Workspace
 
 MAGIC = b"TLTOK001"
@@ -35,13 +36,15 @@ TRAIN_DOCS = 600  # documents of the dictionary's sample, those with the lowest
 TRAIN_BYTES = 6 << 20
 DICTIONARY_BYTES = 64 << 10
 SHARD_IDS = 3 << 20
-CACHE = 300_000  # words whose ids a worker remembers
+CACHE_BITS = 21  # a worker remembers the ids of up to three quarters of so many chunks
 LEVEL = 3
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to Python, not to the tokenizer
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_WORD = re.compile("(\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)").fullmatch
+_WORD = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@[-`{-~]*)").fullmatch
+#: Bytes of white space other than space and line feed, and first bytes of characters that may be such.
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _encoders: dict[str, Encoder] = {}
 
 
@@ -52,11 +55,64 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class ChunkTable:
+    """Ids of chunks by the chunk's 64-bit hash: open addressing in arrays, looked up many at a time."""
+
+    def __init__(self, bits: int, kind: np.dtype):
+        self.size = 1 << bits
+        self.keys, self.slot = np.zeros(self.size, np.uint64), np.full(self.size, -1, np.int32)
+        self.begin, self.length, self.entries = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.pool, self.used = np.zeros(1 << 18, kind), 0
+
+    def has_room(self, n: int) -> bool:
+        return self.entries + n <= self.size * 3 // 4
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash; -1: unknown."""
+        at = (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        out = self.slot[at]
+        other = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        while len(other):
+            at[other] = (at[other] + 1) & (self.size - 1)
+            out[other] = found = self.slot[at[other]]
+            other = other[(found >= 0) & (self.keys[at[other]] != hashes[other])]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list) -> None:
+        """Distinct, unknown hashes and the ids of each."""
+        n, first = len(hashes), self.entries
+        lengths = np.array([len(x) for x in ids], np.int64)
+        total = int(lengths.sum())
+        while first + n > len(self.begin):
+            self.begin, self.length = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.length, np.zeros_like(self.length))
+        while self.used + total > len(self.pool):
+            self.pool = np.append(self.pool, np.zeros_like(self.pool))
+        self.begin[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.length[first : first + n] = lengths
+        self.pool[self.used : self.used + total] = np.concatenate(ids)
+        self.used, self.entries = self.used + total, first + n
+        at, todo = (hashes & np.uint64(self.size - 1)).astype(np.int64), np.arange(n)
+        while len(todo):
+            lead = np.zeros(len(todo), bool)  # of several that want one place, one takes it
+            lead[np.unique(at[todo], return_index=True)[1]] = True
+            got = todo[lead & (self.slot[at[todo]] < 0)]
+            self.slot[at[got]], self.keys[at[got]] = first + got, hashes[got]
+            todo = todo[hashes[todo] != self.keys[at[todo]]]
+            at[todo] = (at[todo] + 1) & (self.size - 1)
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all entries, one after another, and where each entry's begin (one more than entries)."""
+        lengths = self.length[entries].astype(np.int64)
+        edges = np.concatenate([[0], np.cumsum(lengths)])
+        return self.pool[np.repeat(self.begin[entries] - edges[:-1], lengths) + np.arange(edges[-1])], edges
+
+
 class Encoder:
     """Ids of whole texts. A byte-level BPE never joins white space to what stands before it, so the ids of a text
     are those of its chunks: of its words with the single space or line feed before each, or, where several spaces
-    or others stand together, of its runs "white space, then other characters". Repeated chunks are encoded once. A
-    word of Latin letters and the signs after it are two pieces; such a word goes to the tokenizer's model at once."""
+    or others stand together, of its runs "white space, then other characters". Chunks are found and hashed for many
+    texts at once, and each is encoded once. A word of Latin letters and the signs after it are two pieces; such a word
+    goes to the tokenizer's model at once. Tokenizers of other kinds encode whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,85 +122,108 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.byte_level = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in str(self.tokenizer.pre_tokenizer) and "use_regex=True" in str(self.tokenizer.pre_tokenizer)
+        splitter = str(self.tokenizer.pre_tokenizer)
+        self.byte_level = self.tokenizer.normalizer is None and "ByteLevel(add_prefix_space=False" in splitter and "use_regex=True" in splitter
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}  # ids of " " and the key, or of the key if it begins with a line feed
-        self.chunks: dict[str, bytes] = {}  # ids of the key
-        self.marks = {m: self._ids([m])[0] for m in ("", ".", ",", "\n")} if self.byte_level else {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_words(self, new: set[str]) -> None:
-        words, marks, tokenize, pack_ = self.words, self.marks, self.tokenizer.model.tokenize, "I" if self.wide else "H"
-        hard, stems, feed = [], {}, self.marks["\n"]
-        for w in new:
-            m = _WORD(w)
+        self.marks: dict[str, array] = {}
+        self.chunks: dict[str, np.ndarray] = {}  # of texts with other white space
+        self.table = ChunkTable(CACHE_BITS if self.byte_level else 4, self.kind)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, without the end id; null counts as empty."""
+        out: list[np.ndarray] = []
+        for a, b, raw, at in B.in_slices(column):
+            if self.byte_level:
+                out += self._slice(raw, at)
+            else:
+                out += self._ids([t or "" for t in column.slice(a, b - a).to_pylist()])
+        return out
+
+    def _slice(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        n, texts = len(raw), len(at) - 1
+        if not n:
+            return [np.zeros(0, self.kind)] * texts
+        space = (raw == 0x20) | (raw == 0x0A)
+        edge = B.starts_of(at, n)
+        bad = _ODD_BYTE[raw]
+        bad[1:] |= space[1:] & (space[:-1] | edge[1:n])
+        bad[0] |= space[0]
+        bad |= space & edge[1:]
+        odd = np.unique(np.searchsorted(at, np.flatnonzero(bad), "right") - 1)
+        start = np.flatnonzero(space | edge[:n])
+        end = np.append(start[1:], n)
+        owner = np.searchsorted(at, start, "right") - 1
+        if len(odd):
+            plain = np.ones(texts, bool)
+            plain[odd] = False
+            plain = plain[owner]
+            start, end, owner = start[plain], end[plain], owner[plain]
+        hashes = B.Hasher(raw).spans(start, end)
+        body = raw.tobytes()
+        entries = self.table.find(hashes)
+        missing = np.flatnonzero(entries < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            first = missing[first]
+            if not self.table.has_room(len(new)):
+                self.table = ChunkTable(max(CACHE_BITS, int(len(hashes) * 2).bit_length()), self.kind)
+                new, first = np.unique(hashes, return_index=True)
+            self.table.add(new, self._learn([body[x:y].decode() for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]))
+            entries = self.table.find(hashes)
+        ids, begin = self.table.gather(entries)
+        cuts = begin[np.searchsorted(owner, np.arange(texts + 1))].tolist()
+        out = [ids[cuts[i] : cuts[i + 1]] for i in range(texts)]
+        for i in odd.tolist():
+            text = body[at[i] : at[i + 1]].decode()
+            out[i] = self._ids([text])[0] if _ODD_SPACE.search(text) else self._by_chunks(_CHUNK.findall(text))
+        return out
+
+    def _learn(self, chunks: list[str]) -> list:
+        """The ids of each chunk."""
+        tokenize, pack_, marks = self.tokenizer.model.tokenize, "I" if self.wide else "H", self.marks
+        out: list = [None] * len(chunks)
+        stems: dict[str, array] = {}
+        hard = []
+        for k, chunk in enumerate(chunks):
+            m = _WORD(chunk)
             if m is None:
-                hard.append(w)
+                hard.append(k)
                 continue
-            stem, mark = m.groups()
-            ids = words.get(stem) or stems.get(stem)
+            lead, stem, mark = m.groups()
+            ids = stems.get(lead + stem)
             if ids is None:
-                body = stem if stem[0] != "\n" else stem[1:]
-                if not body.isascii():
-                    body = body.encode().decode("latin-1").translate(self.letters)
-                if stem[0] == "\n":
-                    ids = feed + array(pack_, [t.id for t in tokenize(body)]).tobytes()
-                else:
-                    ids = array(pack_, [t.id for t in tokenize("\u0120" + body)]).tobytes()
-                stems[stem] = ids
+                body = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
+                ids = array(pack_, [t.id for t in tokenize("\u0120" + body if lead == " " else body)])
+                if lead == "\n":
+                    ids = self._mark("\n") + ids
+                stems[lead + stem] = ids
             if mark:
-                tail = marks.get(mark)
-                if tail is None:
-                    tail = self._ids([mark])[0]
-                    if len(marks) < 10_000:
-                        marks[mark] = tail
-                ids += tail
-            words[w] = ids
+                ids = ids + (marks.get(mark) or self._mark(mark))
+            out[k] = ids
         for first in range(0, len(hard), 20_000):
             part = hard[first : first + 20_000]
-            words.update(zip(part, self._ids([w if w[0] == "\n" else " " + w for w in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, without the end id."""
-        if not self.byte_level:
-            return self._ids(texts)
-        for cache in (self.words, self.chunks):
-            if len(cache) > CACHE:
-                cache.clear()
-        get, out, new, late = self.words.get, [b""] * len(texts), set(), []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            own = None if _OTHER_SPACE.search(t) else t.replace("\n", " \n").split(" ")
-            if own is None or "" in own or "\n" in own:  # other spaces, or several together
-                out[i] = self._ids([t])[0] if _ODD_SPACE.search(t) else self._by_chunks(_CHUNK.findall(t))
-                continue
-            first = self._by_chunks(own[:1])
-            own[0] = None
-            found = list(map(get, own))
-            found[0] = first
-            if None in found:
-                missing = [k for k, x in enumerate(found) if x is None]
-                new.update([own[k] for k in missing])
-                late.append((i, own, found, missing))
-            else:
-                out[i] = b"".join(found)
-        self._learn_words(new)
-        known = self.words
-        for i, own, found, missing in late:
-            for k in missing:
-                found[k] = known[own[k]]
-            out[i] = b"".join(found)
+            for k, ids in zip(part, self._ids([chunks[k] for k in part]), strict=True):
+                out[k] = ids
         return out
 
-    def _by_chunks(self, own: list[str]) -> bytes:
-        known = self.chunks
-        new = list({c for c in own if c not in known})
+    def _mark(self, mark: str) -> array:
+        ids = self.marks.get(mark)
+        if ids is None:
+            ids = array("I" if self.wide else "H", self._ids([mark])[0].tolist())
+            if len(self.marks) < 10_000:
+                self.marks[mark] = ids
+        return ids
+
+    def _by_chunks(self, own: list[str]) -> np.ndarray:
+        if len(self.chunks) > 100_000:
+            self.chunks.clear()
+        new = list({c for c in own if c not in self.chunks})
         if new:
-            known.update(zip(new, self._ids(new), strict=True))
-        return b"".join([known[c] for c in own])
+            self.chunks.update(zip(new, self._ids(new), strict=True))
+        return np.concatenate([self.chunks[c] for c in own]) if own else np.zeros(0, self.kind)
 
 
 def encoder(path: str) -> Encoder:
@@ -153,38 +232,32 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _texts(column: pa.Array, limit: int = 1 << 20):
-    """(first, texts) of runs of about `limit` characters; null counts as empty."""
-    first, own, size = 0, [], 0
-    for i, t in enumerate(column.to_pylist()):
-        own.append(t or "")
-        size += len(own[-1])
-        if size >= limit:
-            yield first, own
-            first, own, size = i + 1, [], 0
-    if own:
-        yield first, own
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sample: int = TRAIN_DOCS) -> bytes:
-    """A zstandard dictionary for serialized ids; empty where the sample is too small to train one."""
-    import zstandard
-
+    """A zstandard dictionary for serialized ids; empty where the sample is too small to train one. It is trained by one task over the bounded sample."""
     ids = docs.select(F.col(doc_id).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(ids), "i")
-    texts, size = [], 0
-    for row in rows.groupBy("i").agg(F.min("t").alias("t")).sort(F.xxhash64("i"), "i").toLocalIterator():
-        if size > TRAIN_BYTES:
-            break
-        texts.append(row.t)
-        size += len(row.t)
-    samples = [x for x in encoder(tokenizer).encode(texts) if len(x) >= 8]
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+
+    def run(batches):
+        import zstandard
+
+        texts, size = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if size <= TRAIN_BYTES:
+                    texts.append(t)
+                    size += len(t)
+        samples = [x.tobytes() for x in encoder(tokenizer).encode(pa.array(texts, pa.string())) if len(x) >= 4]
+        data = b""
+        if sum(map(len, samples)) >= 8 * DICTIONARY_BYTES and len(samples) >= 16:
+            try:
+                data = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+            except zstandard.ZstdError:
+                data = b""
+        yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["dictionary"])
+
+    one = rows.groupBy("i").agg(F.min("t").alias("t")).repartition(1).sortWithinPartitions(F.xxhash64("i"), "i").select("t")
+    got = one.mapInArrow(run, "dictionary binary").first()
+    return bytes(got.dictionary) if got else b""
 
 
 def pack(dictionary: bytes, range_: int, sequence: int, ids: list, frames: list[bytes], counts: list[int], width: int) -> bytes:
@@ -267,9 +340,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, texts in _texts(batch.column(1)):
-                for k, raw in enumerate(enc.encode(texts)):
-                    raw += end
+            for first, last, _, _ in B.in_slices(batch.column(1)):
+                for k, own in enumerate(enc.encode(batch.column(1).slice(first, last - first))):
+                    raw = own.tobytes() + end
                     ids.append(keys[first + k])
                     frames.append(zip_.compress(raw))
                     counts.append(len(raw) // width)
