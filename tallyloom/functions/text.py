@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-TERM = r"[\p{L}\p{N}\p{Co}_\-./]+"
+#: A term within its run of letters, numbers, private-use characters and _-./ : it begins with none of ./ and ends with none of -./
+TERM = r"((?:[\p{L}\p{N}\p{Co}_\-][\p{L}\p{N}\p{Co}_\-./]*)?[\p{L}\p{N}\p{Co}_])[-./]*+"
 
 #: English words that a relaxed search leaves out.
 STOPWORDS = frozenset(
@@ -16,19 +17,19 @@ STOPWORDS = frozenset(
 
 
 def terms(text: Column) -> Column:
-    """The index terms of a text, in order: runs of letters, numbers, private-use characters and _-./, trimmed, lower case."""
-    raw = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    trimmed = F.transform(raw, lambda t: F.lower(F.regexp_replace(F.regexp_replace(t, r"^[./]+", ""), r"[-./]+$", "")))
-    return F.filter(trimmed, lambda t: t != "")
+    """The index terms of a text, in order, in lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(1)), lambda t: F.lower(t))
+
+
+def n_terms(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(TERM))
 
 
 def plain_terms(query: str) -> list[str]:
     """The same at plan time."""
     import regex
 
-    raw = regex.findall(TERM, query)
-    out = [re.sub(r"[-./]+$", "", re.sub(r"^[./]+", "", t)).lower() for t in raw]
-    return [t for t in out if t]
+    return [t.lower() for t in regex.findall(TERM, query)]
 
 
 def one_line(text: Column) -> Column:

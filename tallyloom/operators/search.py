@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.functions.text import STOPWORDS, plain_terms, terms
+from tallyloom.functions.text import STOPWORDS, n_terms, plain_terms, terms
 
 K1, B, IDF_FLOOR, BOOST = 1.2, 0.75, 1e-6, 1.5
 BOOSTED = ("user", "assistant", "agent_message")
@@ -78,8 +78,8 @@ def with_terms(rows: DataFrame) -> DataFrame:
 
 def matching(rows: DataFrame, match: Match) -> DataFrame:
     cheap = [F.lower("text").contains(p.lower()) for p in match.phrases]
-    if not match.any:
-        cheap += [F.lower("text").contains(t) for t, _ in match.terms()]
+    holds = [F.lower("text").contains(t) for t, _ in match.terms()]
+    cheap += [reduce(lambda a, b: a | b, holds)] if match.any and holds else holds
     narrowed = rows.where(reduce(lambda a, b: a & b, cheap)) if cheap else rows
     return with_terms(narrowed).where(match.condition(F.col("__terms"), F.col("text")))
 
@@ -91,9 +91,8 @@ def bm25(rows: DataFrame, match: Match, kind: str | None = None) -> DataFrame:
     joined to the matches; nothing else is shuffled.
     """
     wanted = match.terms()
-    all_rows = rows.select(terms(F.col("text")).alias("__terms"))
-    hit = lambda own, t, prefix: F.exists(own, _starts(t)) if prefix else F.array_contains(own, t)
-    stats = all_rows.agg(F.count("*").alias("N"), F.avg(F.size("__terms")).alias("avgdl"), *[F.sum(hit(F.col("__terms"), t, p).cast("int")).alias(f"n{i}") for i, (t, p) in enumerate(wanted)])
+    text = F.col("text")
+    stats = rows.agg(F.count("*").alias("N"), F.avg(n_terms(text)).alias("avgdl"), *[F.sum(_holds(text, t, p).cast("int")).alias(f"n{i}") for i, (t, p) in enumerate(wanted)])
     found = matching(rows, match).crossJoin(F.broadcast(stats))  # one row
     length = F.size("__terms")
     score = F.lit(0.0)
@@ -111,14 +110,21 @@ def _equals(term: str) -> Callable[[Column], Column]:
     return lambda x: x == term
 
 
+def _holds(text: Column, term: str, prefix: bool) -> Column:
+    """Whether a text has the term; only texts that contain it anywhere are taken apart."""
+    own = terms(text)
+    return F.when(F.lower(text).contains(term), F.exists(own, _starts(term)) if prefix else F.array_contains(own, term)).otherwise(F.lit(False))
+
+
 def probe(rows: DataFrame, match: Match, cap: int = PROBE_CAP) -> int:
     return matching(rows, match).limit(cap).count()
 
 
 def term_counts(rows: DataFrame, words: list[str]) -> dict[str, int]:
     """How many rows hold each word: one pass for all of them."""
-    own = with_terms(rows)
-    got = own.agg(*[F.sum(Match((w,)).condition(F.col("__terms"), F.col("text")).cast("int")).alias(f"n{i}") for i, w in enumerate(words)]).first()
+    text = F.col("text")
+    holds = [[_holds(text, t, p) for t, p in Match((w,)).terms()] for w in words]
+    got = rows.agg(*[F.sum(reduce(lambda a, b: a & b, h).cast("int") if h else F.lit(0)).alias(f"n{i}") for i, h in enumerate(holds)]).first()
     return {w: got[i] or 0 for i, w in enumerate(words)}
 
 
