@@ -291,3 +291,20 @@ def benchmark_phrases(spark, sf_dir):
     words = F.split("text", r"\s+")
     heads = docs.select("doc_id", "text", words.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"))
     return heads.join(items, "head").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+
+
+@query("output_budget", f"""WITH {CHAT}, b AS (SELECT id, session_id, row_number() OVER w AS rank, sum(octet_length(encode(text))) OVER w AS running_bytes FROM chat WINDOW w AS (PARTITION BY session_id ORDER BY ordinal, id ROWS UNBOUNDED PRECEDING))
+SELECT id, session_id, rank::INTEGER AS rank, running_bytes::BIGINT AS running_bytes FROM b WHERE rank <= 4 AND running_bytes <= 3000""")
+def output_budget(spark, sf_dir):
+    from tallyloom.operators.render import within_budget
+
+    rows = within_budget(v.chat(spark, sf_dir), F.octet_length("text").cast("long"), [F.col("ordinal"), F.col("id")], ["session_id"], 4, 3000)
+    return rows.select("id", "session_id", "rank", "running_bytes")
+
+
+@query("short_session_ids", """WITH s AS (SELECT DISTINCT sha256(conv_id::VARCHAR) AS session_id FROM conversations), o AS (SELECT session_id, lag(session_id) OVER (ORDER BY session_id) AS p, lead(session_id) OVER (ORDER BY session_id) AS n FROM s),
+c AS (SELECT session_id, (SELECT max(k) FROM range(0, 65) r(k) WHERE left(p, k::INT) = left(session_id, k::INT) OR left(n, k::INT) = left(session_id, k::INT)) AS shared FROM o)
+SELECT session_id, left(session_id, greatest(coalesce(shared, 0) + 1, 8)::INT) AS short FROM c""")
+def short_session_ids(spark, sf_dir):
+    ids = v.table(spark, sf_dir, "conversations").select(F.sha2(F.col("conv_id").cast("string"), 256).alias("session_id"))
+    return se.short_ids(ids)
