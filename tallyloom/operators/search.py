@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -87,23 +88,21 @@ def matching(rows: DataFrame, match: Match) -> DataFrame:
 def bm25(rows: DataFrame, match: Match, kind: str | None = None) -> DataFrame:
     """id and score (higher is better) of the matching rows.
 
-    N, document frequencies and the average length are over all rows, in one aggregate of one row, which is
-    joined to the matches; nothing else is shuffled.
+    N, document frequencies and the average length are over all rows: one aggregate, whose single row is fetched and
+    enters the scores as literals. The matches are then scored where they lie, without a shuffle.
     """
     wanted = match.terms()
     text = F.col("text")
-    stats = rows.agg(F.count("*").alias("N"), F.avg(n_terms(text)).alias("avgdl"), *[F.sum(_holds(text, t, p).cast("int")).alias(f"n{i}") for i, (t, p) in enumerate(wanted)])
-    found = matching(rows, match).crossJoin(F.broadcast(stats))  # one row
-    length = F.size("__terms")
-    score = F.lit(0.0)
-    for i, (t, prefix) in enumerate(wanted):
+    n_rows, mean, *df = rows.agg(F.count("*"), F.avg(n_terms(text)), *[F.sum(_holds(text, t, p).cast("int")) for t, p in wanted]).first()
+    found = matching(rows, match)
+    length, score = F.size("__terms"), F.lit(0.0)
+    for (t, prefix), n in zip(wanted, df, strict=True):
         f = F.size(F.filter("__terms", _starts(t) if prefix else _equals(t)))
-        n = F.col(f"n{i}")
-        idf = F.greatest(F.log((F.col("N") - n + 0.5) / (n + 0.5)), F.lit(IDF_FLOOR))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("avgdl")))
+        idf = max(math.log((n_rows - (n or 0) + 0.5) / ((n or 0) + 0.5)), IDF_FLOOR)
+        score = score + F.lit(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
     if kind:
         score = score * F.when(F.col(kind).isin(*BOOSTED), BOOST).otherwise(1.0)
-    return found.withColumn("score", score).drop("__terms", "N", "avgdl", *[f"n{i}" for i in range(len(wanted))])
+    return found.withColumn("score", score).drop("__terms")
 
 
 def _equals(term: str) -> Callable[[Column], Column]:
