@@ -228,9 +228,10 @@ def _links(space: Workspace, docs: DataFrame, nodes: DataFrame, doc_id: str, tex
     wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
     shingles = space.table(_shingle_table(docs, wanted, doc_id, text, k), "shingles")
     checked = space.table(_verified(pairs, shingles, least), "checked")
+    open_ = members
     for turn in range(STARS + 1):
         labels = components(space, checked.where("linked"))
-        owned = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        owned = open_.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
         mixed = owned.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
         open_ = space.table(owned.join(mixed, "key", "left_semi"), "open")
         space.drop(labels)
