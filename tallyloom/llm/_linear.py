@@ -26,13 +26,34 @@ class Rows:
         return out
 
     def packed(self):
-        n = np.array([len(x) for x in self.index])
-        row = np.repeat(np.arange(len(n)), n)
+        """Row, index and value of all entries."""
+        n = np.array([len(x) for x in self.index], np.int32)
+        row = np.repeat(np.arange(len(n), dtype=np.int32), n)
         return row, np.concatenate([*self.index, np.zeros(0, np.int32)]), np.concatenate([*self.value, np.zeros(0, np.float32)])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        row, index, value = self.packed()
-        return np.bincount(row, value * w[index], minlength=len(self))
+        return Packed(self).dot(w)
+
+
+class Packed:
+    """Products with sparse rows, in pieces, so that no large temporary arrays are needed."""
+
+    def __init__(self, rows: Rows, piece: int = 1 << 19):
+        self.n = len(rows)
+        self.row, self.index, self.value = rows.packed()
+        self.pieces = [slice(i, i + piece) for i in range(0, len(self.row), piece)]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        for s in self.pieces:
+            out += np.bincount(self.row[s], self.value[s] * w[self.index[s]], minlength=self.n)
+        return out
+
+    def back(self, error: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for s in self.pieces:
+            out += np.bincount(self.index[s], self.value[s] * error[self.row[s]], minlength=size)
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -52,13 +73,13 @@ def descend(gradient, size: int, steps: int, rate: float) -> np.ndarray:
 
 def fit_logistic(x: Rows, y: np.ndarray, size: int, ridge: float = 1e-6, steps: int = 150, rate: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and intercept; both classes weigh the same in all."""
-    row, index, value = x.packed()
+    p_ = Packed(x)
     weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) / len(y)
 
     def gradient(p):
         w, b = p[:-1], p[-1]
-        error = weight * (sigmoid(np.bincount(row, value * w[index], minlength=len(y)) + b) - y)
-        return np.append(np.bincount(index, value * error[row], minlength=size) + ridge * w, error.sum())
+        error = weight * (sigmoid(p_.dot(w) + b) - y)
+        return np.append(p_.back(error, size) + ridge * w, error.sum())
 
     p = descend(gradient, size + 1, steps, rate)
     return p[:-1], float(p[-1])
@@ -79,9 +100,9 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float]
     return max(float(a), 1e-6) / scale, float(b)
 
 
-def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 3e-4, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 1e-2, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Cumulative-link model: P(y > j) = sigmoid(w.x - t[j]), one w for all ordered thresholds t. Grades weigh the same in all."""
-    row, index, value = x.packed()
+    p_ = Packed(x)
     n = np.bincount(y.astype(int), minlength=grades)
     weight = 1.0 / np.maximum(n[y.astype(int)], 1) / max((n > 0).sum(), 1)
 
@@ -91,7 +112,7 @@ def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 3
     def likelihood_gradient(p):
         w, tail = p[:size], p[size:]
         t = thresholds(tail)
-        z = np.bincount(row, value * w[index], minlength=len(y))
+        z = p_.dot(w)
         s = sigmoid(z[:, None] - t[None, :])  # P(y > j)
         upper = np.concatenate([np.ones((len(y), 1)), s], 1)
         grade = y.astype(int)
@@ -105,7 +126,7 @@ def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 3
             dt[j] = ((grade == j + 1) * d_high / p_y * weight).sum() - ((grade == j) * d_low / p_y * weight).sum()
         back = np.cumsum(dt[::-1])[::-1]
         dtail = np.append(back[:1], back[1:] * sigmoid(tail[1:]))
-        return np.append(np.bincount(index, value * dz[row], minlength=size) + ridge * w, dtail)
+        return np.append(p_.back(dz, size) + ridge * w, dtail)
 
     p = descend(likelihood_gradient, size + grades - 1, steps, rate)
     return p[:size], thresholds(p[size:])

@@ -8,6 +8,8 @@ rejected if the base rules fail or the calibrated probability of low quality rea
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -17,7 +19,7 @@ from tallyloom.llm._linear import Rows, fit_logistic, platt
 from tallyloom.llm._store import Workspace
 
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 64 << 20  # of the sample's texts in the driver at once, at most
+TRAIN_BYTES = 32 << 20  # characters of the sample's texts, about, at most
 REJECT_AT = 0.5
 BITS = 14
 SYMBOLS = np.zeros(256, np.int64)
@@ -132,28 +134,38 @@ def _sparse(texts: list[str]) -> Rows:
     return rows
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
-    """Texts and labels of a sample of at most `rows` labelled documents: of each of the labels 0 and 1, half as many with the lowest hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """t and y (text and label) of a sample of at most `rows` labelled documents: of each of the labels 0 and 1, half as many with the lowest hash of their id."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(target).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     chosen = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows // 2)
         chosen = some if chosen is None else chosen.unionByName(some)
     got = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(chosen), "id")
-    sample = got.groupBy("id", "y").agg(F.min("t").alias("t")).sort(F.xxhash64("id"), "id")
-    texts, y, size = [], [], 0
-    for row in sample.toLocalIterator():
-        if size > TRAIN_BYTES:
-            break
-        texts.append(row.t)
-        y.append(row.y)
-        size += len(row.t)
-    return texts, np.array(y, float)
+    return got.groupBy("id", "y").agg(F.min("t").alias("t"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """The model of low quality (labels.quality = 0). None if the sample lacks either class."""
-    texts, quality = labelled(docs, labels, "quality", rows)
+def trained(sample: DataFrame, fit):
+    """fit(texts, labels), run as one task over the bounded sample in the order of the ids' hash, so that the driver
+    needs no memory for it; only the model comes back."""
+
+    def run(batches):
+        texts, y, size = [], [], 0
+        for batch in batches:
+            for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if size <= TRAIN_BYTES:
+                    texts.append(t)
+                    y.append(label)
+                    size += len(t)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(y, float)))], pa.binary())], names=["model"])
+
+    Workspace(sample.sparkSession, "train")
+    one = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("t", "y")
+    got = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(got.model) if got else None
+
+
+def fit(texts: list[str], quality: np.ndarray) -> Model | None:
     bad = (quality == 0).astype(float)
     if not 0 < bad.sum() < len(bad):
         return None
@@ -168,6 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     return Model(w.astype(np.float32), b, slope, shift)
 
 
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+    """The model of low quality (labels.quality = 0). None if the sample lacks either class."""
+    return trained(labelled(docs, labels, "quality", rows), fit)
+
+
 def _verdict(counts: dict, bad: np.ndarray | None, reject_at: float) -> tuple[np.ndarray, np.ndarray]:
     failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
     kept = ~failed if bad is None else ~failed & (bad < reject_at)

@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the words of a text (runs of letters, ASCII in lower case) and their beginnings of PREFIXES bytes,
-hashed. A feature's value is log2(1 + count), less where it makes up under half a percent of the words, so that
-neither repetition nor mere length makes a text toxic. Features that hardly any toxic text of the sample has are left
+hashed. A feature's value is log2(1 + count); that of a beginning is less where it makes up under half a percent of the
+words, as beginnings are shared with other words, which long texts hold. Features that hardly any toxic text of the sample has are left
 out. The labels tell toxic from not; the grades are made from them: 0 not toxic, 1 and 2 toxic, 2 where the features that a first
 estimate by log-odds ties to toxic texts weigh more than in the median toxic text. One weight vector is shared
 by both ordered thresholds; the result is the expected grade, sum over j of P(grade > j). The training sample is
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.llm import _bytes as B
 from tallyloom.llm._linear import Rows, fit_ordinal, sigmoid
 from tallyloom.llm._store import Workspace
-from tallyloom.llm.quality import labelled
+from tallyloom.llm.quality import labelled, trained
 
 TRAIN_ROWS = 3000
 BITS = 18
@@ -45,10 +45,12 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         long = end - start > k
         hashes.append(B.mix(hasher.spans(start[long], start[long] + k) + np.uint64(k)))
         owners.append(owner[long])
-    pairs = np.concatenate(owners).astype(np.int64) << BITS | (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
-    pairs, counts = np.unique(pairs, return_counts=True)
+    # The last bit tells beginnings from words.
+    buckets = [(h >> np.uint64(64 - BITS)).astype(np.int64) & ~1 | (i > 0) for i, h in enumerate(hashes)]
+    pairs, counts = np.unique(np.concatenate(owners).astype(np.int64) << BITS | np.concatenate(buckets), return_counts=True)
     text = pairs >> BITS
-    value = np.log2(1.0 + counts) * np.minimum(1.0, counts / np.maximum(n[text], 1) / SHARE)
+    share = np.minimum(1.0, counts / np.maximum(n[text], 1) / SHARE)
+    value = np.log2(1.0 + counts) * np.where(pairs & 1, share, 1.0)
     return (pairs & ((1 << BITS) - 1)).astype(np.int32), value, np.searchsorted(text, np.arange(len(n) + 1))
 
 
@@ -68,7 +70,10 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """None if the sample lacks toxic or other texts."""
-    texts, toxic = labelled(docs, labels, "toxic", rows)
+    return trained(labelled(docs, labels, "toxic", rows), fit)
+
+
+def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     if not 0 < toxic.sum() < len(toxic):
         return None
     size = 1 << BITS
