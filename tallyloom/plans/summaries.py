@@ -125,12 +125,12 @@ def commit_evidence(spark, sf_dir):
     return e.commit_evidence(frame(spark, "messages")).select("conversation_id", "hash", "operation", "command_id", "result_id", "outcome")
 
 
-@query("trace_prefix_join", """WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), ev AS (SELECT doc_id, left(h, 7 + (doc_id % 20)::INT) AS hash FROM d), w AS (SELECT DISTINCT h AS wanted FROM d WHERE doc_id < 60)
+@query("trace_prefix_join", """WITH d AS (SELECT doc_id, n_chars, sha256(text) AS h FROM documents), ev AS (SELECT doc_id, left(h, 7 + (n_chars % 20)::INT) AS hash FROM d), w AS (SELECT DISTINCT h AS wanted FROM d)
 SELECT wanted, doc_id FROM w JOIN ev ON starts_with(wanted, hash)""")
 def trace_prefix_join(spark, sf_dir):
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    observed = docs.select("doc_id", F.substring("h", F.lit(1), (7 + F.col("doc_id") % 20).cast("int")).alias("hash"))
-    return e.trace_all(observed, docs.where("doc_id < 60").select(F.col("h").alias("wanted")).distinct()).select("wanted", "doc_id")
+    docs = v.table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("h"))
+    observed = docs.select("doc_id", F.substring("h", F.lit(1), (7 + F.col("n_chars") % 20).cast("int")).alias("hash"))
+    return e.trace_all(observed, docs.select(F.col("h").alias("wanted")).distinct()).select("wanted", "doc_id")
 
 
 @query("redact_find_counts", f"WITH {cte('secrets')} SELECT * FROM (VALUES ('aws-access-key', 1), ('assignment', 1), ('github-token', 1), ('url-password', 1), ('auth-header', 1), ('gitlab-token', 1), ('cookie-header', 1)) t(rule, n)")
