@@ -139,3 +139,17 @@ def parse_address(text: Column) -> Column:
     pattern = r"^(.+?)(?:/(\d+))?(?::(\d+))?$"
     part = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
     return F.struct(part(1).alias("session"), part(2).cast("long").alias("ordinal"), part(3).cast("int").alias("line"))
+
+
+def line_window(text: Column, line: Column, before: int, after: int) -> Column:
+    """The lines around a line (from 1), joined."""
+    first = F.greatest(line - before, F.lit(1))
+    return F.array_join(F.slice(F.split(text, "\n"), first, line + after - first + 1), "\n")
+
+
+def line_range(suffix: str) -> tuple[int, int] | None:
+    """(first, last) of "L10-L20", "10-20" or "L10"; None if it is no range."""
+    m = re.fullmatch(r"L?(\d+)(?:-L?(\d+))?", suffix)
+    if not m or int(m[1]) < 1 or int(m[2] or m[1]) < int(m[1]):
+        return None
+    return int(m[1]), int(m[2] or m[1])

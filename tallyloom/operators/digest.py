@@ -22,6 +22,7 @@ EDIT_ARGUMENTS = {"Edit": "file_path", "Write": "file_path", "MultiEdit": "file_
 PULL = r"https://github\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/pull/([0-9]+)"
 ISSUE = r"https://github\.com/([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)/issues/([0-9]+)"
 COMMIT = r"\[(?:detached HEAD|[^\]\s]+)(?: \([^)\n]*\))? ([0-9a-f]{7,40})\] "
+GH = {"pull": r"\bgh\s+pr\s+(?:create|edit|merge|view|ready|comment|review|close|reopen)\b", "issue": r"\bgh\s+issue\s+(?:create|edit|view|comment|close|reopen)\b"}
 PATCH_FILE = r"(?m)^\*\*\* (?:Add|Update|Delete) File: (.+)$|^\*\*\* Move to: (.+)$"
 
 
@@ -98,12 +99,18 @@ def edited_files(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def references(messages: DataFrame) -> DataFrame:
-    """conversation_id, kind (pull, issue), ref (owner/name#number) of links in prompts and replies, the first MAX_REFS of each kind."""
-    rows = counted(messages).where(F.col("kind").isin("user", "assistant") & F.col("text").contains("github.com/"))
+    """conversation_id, kind (pull, issue), ref (owner/name#number) of links in prompts and replies, and in what
+    succeeding gh commands of that kind print; the first MAX_REFS of each kind."""
+    rows = counted(messages)
+    said = rows.where(F.col("kind").isin("user", "assistant") & F.col("text").contains("github.com/")).select("conversation_id", "ordinal", "id", "text")
+    calls = rows.where((F.col("kind") == "tool_call") & F.lower("tool_name").isin(*SHELL_TOOLS) & F.col("text").contains("gh ")).select("conversation_id", "tool_call_id", F.coalesce(F.get_json_object("text", "$.command"), F.get_json_object("text", "$.cmd"), F.col("text")).alias("command"))
+    results = rows.where((F.col("kind") == "tool_result") & ~F.coalesce("is_error", F.lit(False)) & F.col("text").contains("github.com/"))
+    printed = results.join(calls, ["conversation_id", "tool_call_id"])
     out = None
     for kind, pattern in (("pull", PULL), ("issue", ISSUE)):
+        texts = said.unionByName(printed.where(F.col("command").rlike(GH[kind])).select(*said.columns))
         refs = F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("b")), lambda x: F.concat(x["a"], F.lit("#"), x["b"]))
-        own = rows.select("conversation_id", F.lit(kind).alias("kind"), "ordinal", "id", F.posexplode(refs).alias("nth", "ref"))
+        own = texts.select("conversation_id", F.lit(kind).alias("kind"), "ordinal", "id", F.posexplode(refs).alias("nth", "ref"))
         out = own if out is None else out.unionByName(own)
     first = out.groupBy("conversation_id", "kind", "ref").agg(F.min(F.struct("ordinal", "id", "nth")).alias("at"))
     nth = F.row_number().over(W.partitionBy("conversation_id", "kind").orderBy("at"))

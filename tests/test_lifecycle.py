@@ -50,3 +50,21 @@ def test_hidden_sessions_follow_the_rules(spark):
     assert policy.to_purge(hidden, "2026-02-01").count() == 1 and policy.to_purge(hidden, "2026-01-06").count() == 0
     evidence = spark.createDataFrame([("k", "allow", "mapped"), ("k", "deny", "none"), ("j", "local", "unmapped")], "key string, mode string, mapping string")
     assert {r.key: (r.verdict, r.mapping) for r in policy.evidence_rollup(evidence).collect()} == {"k": ("deny", "mapped"), "j": ("local", "unmapped")}
+
+
+def test_references_of_gh_commands(spark):
+    from tallyloom.operators.digest import references
+
+    url = "https://github.com/o/r/pull/5"
+    rows = [("c", "1", 1, "tool_call", "Bash", "t1", None, '{"command":"gh pr create"}'), ("c", "2", 2, "tool_result", "Bash", "t1", False, url), ("c", "3", 3, "tool_call", "Bash", "t2", None, '{"command":"gh pr list"}'), ("c", "4", 4, "tool_result", "Bash", "t2", False, url + "6"), ("c", "5", 5, "tool_call", "Bash", "t3", None, '{"command":"gh pr view 7"}'), ("c", "6", 6, "tool_result", "Bash", "t3", True, url + "7")]
+    df = spark.createDataFrame(rows, "conversation_id string, id string, ordinal long, kind string, tool_name string, tool_call_id string, is_error boolean, text string")
+    df = df.withColumn("superseded", F.lit(False)).withColumn("on_active_path", F.lit(True)).withColumn("enrichment", F.lit(None).cast("string"))
+    assert [(r.kind, r.ref) for r in references(df).collect()] == [("pull", "o/r#5")]
+
+
+def test_line_windows(spark):
+    from tallyloom.functions.text import line_range, line_window
+
+    one = lambda n, b, a: spark.range(1).select(line_window(F.lit("a\nb\nc\nd"), F.lit(n), b, a)).first()[0]
+    assert one(2, 1, 1) == "a\nb\nc" and one(1, 5, 0) == "a" and one(4, 0, 9) == "d"
+    assert line_range("L3-L5") == (3, 5) and line_range("7") == (7, 7) and line_range("5-3") is None and line_range("x") is None
