@@ -100,11 +100,12 @@ def platt(z: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float]
     return max(float(a), 1e-6) / scale, float(b)
 
 
-def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 1e-2, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Cumulative-link model: P(y > j) = sigmoid(w.x - t[j]), one w for all ordered thresholds t. Grades weigh the same in all."""
+def fit_ordinal(x: Rows, y: np.ndarray, size: int, grades: int, ridge: float = 1e-3, steps: int = 120, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Cumulative-link model: P(y > j) = sigmoid(w.x - t[j]), one w for all ordered thresholds t."""
     p_ = Packed(x)
     n = np.bincount(y.astype(int), minlength=grades)
-    weight = 1.0 / np.maximum(n[y.astype(int)], 1) / max((n > 0).sum(), 1)
+    share = np.where(np.arange(grades) == 0, 0.5, 0.5 / max((n[1:] > 0).sum(), 1))  # half for the lowest grade, the rest alike
+    weight = (share / np.maximum(n, 1))[y.astype(int)]
 
     def thresholds(p):  # the first is free, each next lies above by a positive step
         return np.cumsum(np.append(p[:1], np.log1p(np.exp(np.clip(p[1:], -30, 30))) + 1e-3))

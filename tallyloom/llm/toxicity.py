@@ -1,9 +1,10 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are the words of a text (runs of letters, ASCII in lower case) and their beginnings of PREFIXES bytes,
-hashed. A feature's value is log2(1 + count); that of a beginning is less where it makes up under half a percent of the
-words, as beginnings are shared with other words, which long texts hold. Features that hardly any toxic text of the sample has are left
-out. The labels tell toxic from not; the grades are made from them: 0 not toxic, 1 and 2 toxic, 2 where the features that a first
+hashed. A word's value is log2(1 + count). That of a beginning is log2(count), and less where it makes up under half a
+percent of the words: beginnings are shared with other words, so that one alone, or a few in a long text, say nothing.
+Features that few toxic texts of the sample have, or other texts hardly less often, are left out, and so are near
+copies in the sample. The labels tell toxic from not; the grades are made from them: 0 not toxic, 1 and 2 toxic, 2 where the features that a first
 estimate by log-odds ties to toxic texts weigh more than in the median toxic text. One weight vector is shared
 by both ordered thresholds; the result is the expected grade, sum over j of P(grade > j). The training sample is
 bounded (TRAIN_ROWS, taken by hash of the id).
@@ -24,8 +25,9 @@ TRAIN_ROWS = 3000
 BITS = 18
 PREFIXES = (6, 7, 8)
 SHARE = 0.005
+LEAST_ODDS = 1.0  # log-odds of a feature for toxic texts, from which it is used
 GRADES = 3
-TOXIC_AT = 0.5  # of P(grade > 0)
+TOXIC_AT = 0.35  # of P(grade > 0); the ridge draws it towards the middle
 
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -50,7 +52,9 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     pairs, counts = np.unique(np.concatenate(owners).astype(np.int64) << BITS | np.concatenate(buckets), return_counts=True)
     text = pairs >> BITS
     share = np.minimum(1.0, counts / np.maximum(n[text], 1) / SHARE)
-    value = np.log2(1.0 + counts) * np.where(pairs & 1, share, 1.0)
+    value = np.where(pairs & 1, np.log2(counts) * share, np.log2(1.0 + counts))
+    several = value > 0
+    pairs, text, value = pairs[several], text[several], value[several]
     return (pairs & ((1 << BITS) - 1)).astype(np.int32), value, np.searchsorted(text, np.arange(len(n) + 1))
 
 
@@ -73,9 +77,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     return trained(labelled(docs, labels, "toxic", rows), fit)
 
 
+def one_of_each(texts: list[str]) -> list[int]:
+    """Places of the texts that share none of two minima of five-word hashes with an earlier one: near copies would teach the words of one text as those of many."""
+    seen, out, k = set(), [], 0
+    for _, _, raw, at in B.in_slices(pa.array(texts, pa.string())):
+        start, end, bounds = B.words(raw, at)
+        values, owner = B.shingles(B.Hasher(raw).spans(start, end), bounds)
+        for i in range(len(at) - 1):
+            own = values[owner == i]
+            keys = {int(own.min()), int(B.mix(own).min())} if len(own) else {k}
+            if not keys & seen:
+                out.append(k)
+            seen |= keys
+            k += 1
+    return out
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     if not 0 < toxic.sum() < len(toxic):
         return None
+    own = one_of_each(texts)
+    texts, toxic = [texts[i] for i in own], toxic[own]
     size = 1 << BITS
     rows_, values = [], []
     for _, _, raw, at in B.in_slices(pa.array(texts, pa.string())):
@@ -87,8 +109,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     for own, y in zip(rows_, toxic.astype(int), strict=True):
         counts[y, own] += 1
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])[:, None]
-    known = counts[1] >= max(3, 0.01 * n[1, 0])
     odds = np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
+    known = (counts[1] >= max(3, 0.01 * n[1, 0])) & (odds > LEAST_ODDS)
     tied = known & (odds > 2)
     x, weight = Rows(), np.zeros(len(toxic))
     for i, (own, value) in enumerate(zip(rows_, values, strict=True)):
