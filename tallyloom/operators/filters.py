@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,13 +48,12 @@ class Filters:
     include_superseded: bool = False
     include_off_path: bool = False
     limit: int = DEFAULT_LIMIT
-    extra: dict = field(default_factory=dict, compare=False)
 
     def clamp(self) -> int:
         return DEFAULT_LIMIT if self.limit <= 0 else min(self.limit, MAX_LIMIT)
 
     def to_dict(self) -> dict:
-        return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items() if k != "extra" and v not in (None, (), False) and not (k == "limit" and v == DEFAULT_LIMIT)}
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(self).items() if v not in (None, (), False) and not (k == "limit" and v == DEFAULT_LIMIT)}
 
     @classmethod
     def from_dict(cls, values: dict) -> Filters:

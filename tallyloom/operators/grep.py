@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tallyloom.functions.regex import WORD_EDGE, required_literals, smart_case, to_java
+from tallyloom.functions.regex import required_literals, smart_case, to_java
 
 RELEVANCE_CAP = 1000
 LINE_CAP, LINE_BYTES = 10, 300
@@ -93,7 +93,7 @@ def page(messages: DataFrame, pattern: Pattern, order: str = "newest", limit: in
     hits = found(messages, pattern)
     if order == "relevance":
         hits = hits.withColumn("matches", F.least(pattern.count(F.col("text")), F.lit(RELEVANCE_CAP)))
-    keys = {"newest": newest(), "oldest": oldest(), "relevance": [F.col("matches").desc(), *newest()]}[order] if order != "relevance" else [F.col("matches").desc(), *newest()]
+    keys = {"newest": newest(), "oldest": oldest(), "relevance": [F.col("matches").desc(), *newest()]}[order]
     hits = collapsed(hits, keys)
     if max_per_session:
         hits = capped_per_session(hits, keys, max_per_session)
