@@ -10,7 +10,7 @@ import corpus_pipeline
 from tallyloom.llm import mixing, quality
 from tallyloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 
-from test_operators import base_counts, brute_classes, grams, library_ids, words
+from test_llm_operators import base_counts, brute_classes, grams, library_ids, words
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
