@@ -84,6 +84,58 @@ def test_line_dedup_on_anything(docs, empty):
     assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def brute_words(texts, least):
+    """Words left of each (id, text): a word goes if a run of `least` words around it stands at an earlier place."""
+    seen, out = {}, {}
+    for k in texts:
+        w = words(k[1])
+        for a in range(len(w) - least + 1):
+            seen.setdefault(tuple(w[a : a + least]), (k, a))
+    for k in texts:
+        w = words(k[1])
+        gone = {j for a in range(len(w) - least + 1) if seen[tuple(w[a : a + least])] != (k, a) for j in range(a, a + least)}
+        out[k] = [x for j, x in enumerate(w) if j not in gone]
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 7, 50])
+def test_passage_dedup_is_exact(spark, least):
+    r = random.Random(least)
+    said = lambda n: [r.choice("abcdefgh") + str(r.randint(0, 40)) for _ in range(n)]
+    glued = lambda w: "".join(x + r.choice([" ", " ", " ", "\n", "  ", "\n\n"]) for x in w)
+    passages = [said(n) for n in (8, 49, 50, 51, 80)]
+    table = []
+    for i in range(60):
+        body = said(r.randint(0, 90))
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(body))
+            body[at:at] = r.choice(passages)
+        table.append((r.choice([None, *range(40)]), glued(body)))
+    table += [*table[:5], (90, table[0][1]), (None, table[1][1]), (91, None), (92, " \n "), (93, "la le " * 60)]
+    df = spark.createDataFrame(table, "doc_id long, text string").withColumn("was", F.coalesce("text", F.lit("")))
+    hashes = {x.was: x.h for x in df.select("was", F.xxhash64("was").alias("h")).collect()}
+    keys = sorted({(i, t or "") for i, t in table}, key=lambda k: (k[0] is None, k[0] or 0, hashes[k[1]]))
+    expected = brute_words(keys, least)
+    got = line_dedup.dedup_passages(df, least=least, keys=["doc_id", "was"]).collect()
+    assert len(got) == len(table)
+    for x in got:
+        assert words(x.text) == expected[(x.doc_id, x.was)]
+        lines = [y for y in x.was.split("\n") if words(y)]
+        assert x.n_lines == len(lines) and (x.removed == "") == (x.text == x.was)
+
+
+def test_passage_within_a_line(spark):
+    passage = " ".join(f"p{i}" for i in range(25)) + "\n" + " ".join(f"p{i}" for i in range(25, 50))
+    table = [(1, "one\nbefore (x) " + passage + " after it\nend"), (2, "two\nother head " + passage + " another tail\nlast"), (3, passage + "\nthree"), (4, "four\n" + passage)]
+    got = {x.doc_id: x for x in line_dedup.dedup_passages(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert {i: x.text for i, x in got.items()} == {1: table[0][1], 2: "two\nother head another tail\nlast", 3: "three", 4: "four"}
+    assert (got[2].removed, got[2].n_lines, got[2].n_removed, got[3].n_removed) == ("3:53", 4, 0, 2)
+
+
+def test_passage_dedup_on_anything(docs, empty):
+    assert line_dedup.dedup_passages(docs).count() == docs.count() and line_dedup.dedup_passages(empty).count() == 0
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 
 
