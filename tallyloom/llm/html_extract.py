@@ -24,7 +24,9 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe "
     "legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul".split()
 )
-RAW_TAGS = frozenset("script style noscript template svg math iframe object textarea title head select button canvas audio video".split())
+RAW_TAGS = frozenset("script style noscript template svg math iframe object textarea title select button canvas audio video".split())
+#: Elements whose content is not markup: they end at their own end tag only.
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "noscript")}
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header li main menu nav ol p section span table td tr ul".split())
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -100,31 +102,38 @@ def blocks(page: str) -> list[Block]:
             sums = [a + b for a, b in zip(sums, traits, strict=True)]
         return tuple(sums)
 
-    for m in _TAG.finditer(page):
-        if raw:
-            if (m[2] or m[5] or "").lower() == raw and (m[1] or m[4]):
-                raw, at = "", m.end()
+    scan = 0
+    while m := _TAG.search(page, scan):
+        scan = m.end()
+        tag = m[2] or m[5]
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        tag = tag.lower() if tag else tag
+        if raw and tag == raw and closing:
+            raw, at = "", scan
             continue
-        if m.start() > at:
+        if not raw and m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
+        if not raw:
+            at = scan
         if not tag:
             continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        if tag in RAW_TAGS and not closing:
+        if tag in RAW_TAGS and not closing and not (raw and tag not in _ENDS):
             if attributes.rstrip().endswith("/"):
                 continue
-            flush() if tag in BLOCK_TAGS else None
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag in ("script", "style", "textarea", "title") else None
-            if tag in ("script", "style", "textarea", "title"):
-                skip = end.end() if end else len(page)
-                raw, at = ("", skip) if not end else (tag, at)
+            flush() if tag in BLOCK_TAGS and not raw else None
+            if tag in _ENDS:
+                end = _ENDS[tag].search(page, scan)
+                if not end and not raw:
+                    at = len(page)
                 if not end:
                     break
+                scan = end.end()
+                at = at if raw else scan
             else:
                 raw = tag
             continue
+        if raw:
+            continue
         if tag == "a":
             anchor = 0 if closing else 1
             continue

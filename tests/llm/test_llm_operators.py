@@ -198,6 +198,18 @@ def test_main_text(tree, page, expected):
     assert expected is None or got == expected
 
 
+@pytest.mark.parametrize("page", [
+    "<body><article><p>First words.</p><script>for(i=0;i<n;i++){f(i)}</script><p>Last words.</p></article></body>",
+    "<body><article><p>First words.</p><script>if(i<n)f('</p')</script ><style>a<b{}</style><p>Last words.</p></article></body>",
+    "<body><article><p>First words.</p><svg><style>a<b{}</style><script>i<n</script></svg><noscript>i<n</noscript><p>Last words.</p></article></body>",
+    "<html><head><title>i<n</title><meta charset=utf-8><script>i<n</script><body><article><p>First words.</p><p>Last words.</p></article></body>",
+    "<html><head><title>Name</title><article><p>First words.</p><p>Last words.</p></article>",
+])
+def test_raw_elements_end_at_their_end_tags(tree, page):
+    assert [b.text for b in html_extract.blocks(page)] == ["First words.", "Last words."]
+    assert [b.main for b in html_extract.blocks(page)] == [1, 1]
+
+
 def test_tree_on_held_out_pages(tree):
     wrong = total = 0
     for page in html_extract.labelled_pages(150, seed=1234):
