@@ -169,11 +169,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row per document: key, contaminated, n_items, items, containment. Documents that share a key are
-    answered one by one, unless there are several blocks of items: then they get one row, by key and text."""
+    answered one by one."""
     spread = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(options.get("text", "text")).cast("string"), F.lit(""))))
     found = find_leaks(spread, items, [key, "__hash"], **options)
-    if getattr(found, "_tallyloom_blocks", 1) > 1:
-        found = found.groupBy(key, "__hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("containment").alias("containment"))
+    blocks = getattr(found, "_tallyloom_blocks", 1)
+    if blocks > 1:
+        # Each row is answered once by each block; rows with the same key and text have the same answer.
+        found = found.groupBy(key, "__hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.max("containment").alias("containment"), F.count("*").alias("__n"))
+        found = found.withColumn("__row", F.explode(F.sequence(F.lit(1), F.expr(f"__n div {blocks}"))))
     return found.select(key, (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", "containment")
 
 

@@ -169,6 +169,17 @@ def test_containment_is_exact(spark):
     assert kept == {d for d, i in expected.items() if not i} == {x.doc_id for x in decontaminate.decontaminate(df, table, block_bytes=20_000).collect()}
 
 
+def test_repeated_rows_in_several_blocks(spark):
+    item = " ".join(f"i{k}" for k in range(30))
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(200))) for k in range(40)] + [(40, item)], "item_id long, text string")
+    rows = [(1, "a " + item), (1, "a " + item), (1, "a " + item), (1, "other words"), (None, None), (None, None), (2, item), (2, "b " + item), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_leaks(df, items, ["doc_id"], block_bytes=20_000)
+    assert found._tallyloom_blocks > 1
+    got = [sorted(map(repr, map(tuple, decontaminate.leaks(df, items, block_bytes=b).collect()))) for b in (20_000, 1 << 25)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 def test_decontamination_on_anything(spark, docs, empty):
     items = spark.createDataFrame([(1, LONG)], "item_id long, text string")
     none = items.limit(0)
