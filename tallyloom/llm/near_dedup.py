@@ -201,6 +201,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     single shingle. Null ids are in a class as any other, with class_id null if all its ids are. Repeated rows are
     all returned. An empty table gives no rows.
     """
+    sigs, by_node = _classed(docs, doc_id, text, k, least)
+    return sigs.select("id", "node").join(by_node.drop("keep"), "node").select(F.col("id").alias(doc_id), "class_id", "class_size")
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The signatures; and node, class_id, class_size and keep (the node of the class that has the least id, null ids last) of every node."""
     spark = docs.sparkSession
     space = Workspace(spark, "near")
     sigs = space.table(signatures(docs, doc_id, text, k), "signatures")
@@ -208,13 +214,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     links = _links(space, docs, nodes, doc_id, text, k, least)
     named = nodes.select("node", "rep", "n")
     if links is None:
-        by_node = named.select("node", F.col("rep").alias("class_id"), F.col("n").alias("class_size"))
-    else:
-        labels = components(space, links)
-        own = named.join(labels, "node", "left").select("node", "rep", "n", F.coalesce("label", "node").alias("label"))
-        of = own.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-        by_node = own.join(of, "label").select("node", "class_id", "class_size")
-    return sigs.select("id", "node").join(by_node, "node").select(F.col("id").alias(doc_id), "class_id", "class_size")
+        return sigs, named.select("node", F.col("rep").alias("class_id"), F.col("n").alias("class_size"), F.col("node").alias("keep"))
+    labels = components(space, links)
+    own = named.join(labels, "node", "left").select("node", "rep", "n", F.coalesce("label", "node").alias("label"))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node"))
+    of = own.groupBy("label").agg(first.alias("f"), F.sum("n").alias("class_size")).select("label", "class_size", F.col("f.rep").alias("class_id"), F.col("f.node").alias("keep"))
+    return sigs, own.join(of, "label").select("node", "class_id", "class_size", "keep")
 
 
 def _links(space: Workspace, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, k: int, least: float) -> DataFrame | None:
@@ -287,14 +292,16 @@ def _left_pairs(grams: DataFrame, able: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class, with all its columns: the one with the least id, of several such rows one.
-
-    Documents whose ids are all null stay as one row of their class.
-    """
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """One document of each class, with all its columns: the one with the least id (nulls last), of several such rows the
+    one with the least md5 of the text, of equal rows one. Rows are told apart by id and text, so no class is left out
+    where ids are null or repeat."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
-    found = classes(plain, i, t, **options).where(F.col(i).eqNullSafe(F.col("class_id"))).select(F.col(i).alias("__i")).distinct()
-    kept = plain.alias("d").join(found.alias("f"), F.col(f"d.{i}").eqNullSafe(F.col("f.__i")), "left_semi")
-    return kept.dropDuplicates([i]).toDF(*names)
+    _, by_node = _classed(plain, i, t, k, least)
+    found = by_node.where(F.col("node") == F.col("keep")).select("node", F.col("class_id").alias("__i"))
+    marked = plain.withColumn("__node", F.unhex(F.md5(F.coalesce(F.col(t).cast("string"), F.lit("")))))
+    on = (F.col("d.__node") == F.col("f.node")) & F.col(f"d.{i}").cast("long").eqNullSafe(F.col("f.__i"))
+    kept = marked.alias("d").join(found.alias("f"), on, "left_semi")
+    return kept.dropDuplicates([i, "__node"]).drop("__node").toDF(*names)

@@ -472,6 +472,15 @@ def test_near_dedup_on_anything(docs, rows, empty):
     assert near_dedup.classes(empty).count() == 0 and near_dedup.keep_one(empty).count() == 0
 
 
+def test_keep_one_keeps_every_class(spark):
+    said = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    near = said("a", 60) + " more"
+    rows = [(None, said("p")), (None, said("q")), (None, said("q")), (None, said("r")), (5, said("a", 60)), (5, said("b")), (5, said("c", 60)), (3, said("c", 60) + " more"), (None, near), (7, said("d")), (7, said("d")), (6, near), (8, None), (None, "")]
+    got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = [(None, said("p")), (None, said("q")), (None, said("r")), (5, said("a", 60)), (5, said("b")), (3, said("c", 60) + " more"), (7, said("d")), (8, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
 def test_darts_estimate_similarity():
     r = random.Random(2)
     a = [r.randint(0, 10**12) for _ in range(400)]
