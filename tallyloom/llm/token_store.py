@@ -112,14 +112,15 @@ class Encoder:
     are those of its chunks: of its words with the single space or line feed before each, or, where several spaces
     or others stand together, of its runs "white space, then other characters". Chunks are found and hashed for many
     texts at once, and each is encoded once. A word of Latin letters and the signs after it are two pieces; such a word
-    goes to the tokenizer's model at once. Tokenizers of other kinds encode whole texts."""
+    goes to the tokenizer's model at once. Texts that hold an added token's content (`<|endoftext|>`) are encoded whole,
+    as the library splits at these first. Tokenizers of other kinds encode whole texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
         splitter = str(self.tokenizer.pre_tokenizer)
@@ -152,7 +153,9 @@ class Encoder:
         bad[1:] |= space[1:] & (space[:-1] | edge[1:n])
         bad[0] |= space[0]
         bad |= space & edge[1:]
-        odd = np.unique(np.searchsorted(at, np.flatnonzero(bad), "right") - 1)
+        body = raw.tobytes()
+        added = self._with_added(body, at)
+        odd = np.union1d(np.searchsorted(at, np.flatnonzero(bad), "right") - 1, np.array(sorted(added), np.int64))
         start = np.flatnonzero(space | edge[:n])
         end = np.append(start[1:], n)
         owner = np.searchsorted(at, start, "right") - 1
@@ -162,7 +165,6 @@ class Encoder:
             plain = plain[owner]
             start, end, owner = start[plain], end[plain], owner[plain]
         hashes = B.Hasher(raw).spans(start, end)
-        body = raw.tobytes()
         entries = self.table.find(hashes)
         missing = np.flatnonzero(entries < 0)
         if len(missing):
@@ -178,7 +180,21 @@ class Encoder:
         out = [ids[cuts[i] : cuts[i + 1]] for i in range(texts)]
         for i in odd.tolist():
             text = body[at[i] : at[i + 1]].decode()
-            out[i] = self._ids([text])[0] if _ODD_SPACE.search(text) else self._by_chunks(_CHUNK.findall(text))
+            out[i] = self._ids([text])[0] if i in added or _ODD_SPACE.search(text) else self._by_chunks(_CHUNK.findall(text))
+        return out
+
+    def _with_added(self, body: bytes, at: np.ndarray) -> set[int]:
+        """The texts that hold the content of an added token."""
+        out = set()
+        for content in self.added:
+            place = body.find(content)
+            while place >= 0:
+                i = int(np.searchsorted(at, place, "right")) - 1
+                if place + len(content) <= at[i + 1]:
+                    out.add(i)
+                    place = body.find(content, int(at[i + 1]))
+                else:
+                    place = body.find(content, place + 1)
         return out
 
     def _learn(self, chunks: list[str]) -> list:

@@ -577,6 +577,20 @@ def test_encoder_equals_library():
     assert [x.tolist() for x in other.encode(pa.array(["Hello, World", "a  b"]))] == library_ids(["Hello, World", "a  b"], tokenizer_path("word_bpe_49k.json"))
 
 
+def test_encoder_equals_the_library_on_added_tokens():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    library = Tokenizer.from_file(path)
+    names = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in names
+    texts = ["plain words <|endof", "text|> b", *[x for n in names for x in (n, f"a {n} b", f"a{n}b\n{n}{n}  c", f"{n[:-1]} x", f"\t{n}\x1c é")], "a <|endoftext|> b", "last one"]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [64, 220, 50256, 275] in expected
+    assert [x.tolist() for x in token_store.Encoder(path).encode(pa.array(texts))] == expected
+
+
 def test_round_trip(spark, docs, rows, tmp_path):
     folder, path = f"file://{tmp_path}/tokens", tokenizer_path()
     token_store.write(docs, folder, path, shard_ids=500)
