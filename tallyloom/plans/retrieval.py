@@ -284,13 +284,27 @@ def trigram_candidates(spark, sf_dir):
 
 @query("benchmark_phrases", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_phrases(spark, sf_dir):
-    """Whole items as literal patterns: an equality join on the first three words narrows the pairs that are compared."""
-    start = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 3), " ")
-    items = v.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")).withColumn("head", start("item"))
-    docs = v.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return phrases(v.table(spark, sf_dir, "documents"), v.table(spark, sf_dir, "benchmark"))
+
+
+def phrases(documents, benchmark):
+    """Whole items as literal patterns, one row per pair of rows. An equality join narrows the pairs that are compared,
+    on what each text that contains the item must have: the item's second to fourth word, which stand between white
+    space in the item itself, or, of items with fewer than five words, its first three characters (all, if fewer)."""
     words = F.split("text", r"\s+")
-    heads = docs.select("doc_id", "text", words.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"))
-    return heads.join(items, "head").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    items = benchmark.select("item_id", F.col("text").alias("item"), F.split("text", r"\s+").alias("w")).where("item is not null")
+    docs = documents.select("doc_id", "text").where("text is not null")
+    long = items.where(F.size("w") >= 5).select("item_id", "item", F.array_join(F.slice("w", 2, 3), " ").alias("head"))
+    heads = docs.select("doc_id", "text", words.alias("w")).where(F.size("w") >= 5).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"))
+    out = heads.join(long, "head").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
+    short = items.where(F.size("w") < 5).select("item_id", "item", F.substring("item", 1, 3).alias("head"))
+    lengths = sorted(r.n for r in short.select(F.length("head").alias("n")).distinct().collect())
+    if not lengths:
+        return out
+    # Runs of as many characters as the heads have; the last ones of a text are shorter and meet no head that is not there.
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    grams = docs.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*[runs(n) for n in lengths]))).alias("head"))
+    return out.unionByName(grams.join(short, "head").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id"))
 
 
 @query("output_budget", f"""WITH {CHAT}, b AS (SELECT id, session_id, row_number() OVER w AS rank, sum(octet_length(encode(text))) OVER w AS running_bytes FROM chat WINDOW w AS (PARTITION BY session_id ORDER BY ordinal, id ROWS UNBOUNDED PRECEDING))

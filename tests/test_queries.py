@@ -54,3 +54,15 @@ def test_plans_push_down_and_prune(spark, sf_dir):
     plan = QUERIES["filter_time_range"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts," in plan and "props" not in plan
     assert "CartesianProduct" not in QUERIES["benchmark_phrases"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_anywhere(spark):
+    from tallyloom.plans.retrieval import phrases
+
+    items = [(1, "That and onesen of the many words"), (2, "one two, three four five"), (3, "word"), (4, "two words"), (5, "now then here"), (6, "a"), (7, "ab"), (8, ""), (9, None), (10, " led by space and more "), (11, "word"), (12, "é ü"), (13, "four words are here")]
+    texts = [(1, 'he said ("That and onesen of the many words") now'), (2, "xone two, three four fivex"), (3, "swords, two wordsmiths"), (4, "now then here, and"), (5, ""), (6, None), (7, "ab"), (8, "x led by space and more y"), (8, "x led by space and more y"), (9, "That and\nonesen of the many words"), (10, "é üb"), (11, "(four words are here)"), (12, "a")]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted((d, i) for d, t in texts for i, x in items if t is not None and x is not None and x in t)
+    assert sorted(map(tuple, phrases(docs, bench).collect())) == expected
+    only_long = sorted((d, i) for d, i in expected if i in (1, 2, 10))
+    assert sorted(map(tuple, phrases(docs, bench.where("item_id in (1, 2, 10)")).collect())) == only_long
