@@ -10,11 +10,17 @@ from tallyloom.sources.shared import shared_folder
 from tallyloom.sources.shipping import ship
 
 
+#: Rows in an Arrow batch, where the session doesn't say: documents are long, and a batch is held by JVM and worker at once.
+BATCH_ROWS = 2000
+
+
 class Workspace:
     """A folder of one run. A written table cuts the lineage: later steps read it, also after executors are lost."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0

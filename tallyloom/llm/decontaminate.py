@@ -141,6 +141,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "
     Workspace(spark, "leaks")
     schema = docs.select(*keys).schema
     schema = schema.add("items", T.ArrayType(T.LongType())).add("containment", "double")
+    at = keys.index(text) if text in keys and docs.schema[text].dataType.simpleString() == "string" else len(keys)
+    more = [F.col(text).cast("string").alias("__text")] if at == len(keys) else []
     parts = []
     for index in _blocks(items, item_id, item_text, k, block_bytes):
         shared = spark.sparkContext.broadcast(index)
@@ -150,14 +152,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "
             for batch in batches:
                 hits: list[set] = [set() for _ in range(batch.num_rows)]
                 best = np.zeros(batch.num_rows)
-                for a, _, raw, at in B.in_slices(batch.column(n)):
-                    for d, i, share in index.find(raw, at, threshold):
+                for a, _, raw, edges in B.in_slices(batch.column(at)):
+                    for d, i, share in index.find(raw, edges, threshold):
                         hits[a + d].add(index.ids[i])
                         best[a + d] = max(best[a + d], share)
                 lists = pa.array([sorted(h) for h in hits], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], lists, pa.array(best)], names=[*batch.schema.names[:n], "items", "containment"])
 
-        parts.append(docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(scan, schema))
+        parts.append(docs.select(*keys, *more).mapInArrow(B.lean(scan), schema))
     if not parts:
         return docs.select(*keys, F.array().cast("array<long>").alias("items"), F.lit(0.0).alias("containment"))
     out = parts[0]
@@ -186,7 +188,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **optio
     columns = [f"c{i}" for i in range(len(names))]
     plain = docs.toDF(*columns)
     index = names.index(text)
-    found = find_leaks(plain.withColumn("__t", F.col(f"c{index}")), items, columns, text="__t", **options)
+    found = find_leaks(plain, items, columns, text=f"c{index}", **options)
     if getattr(found, "_tallyloom_blocks", 1) > 1:
         marked = plain.withColumn("__h", F.xxhash64(F.col(f"c{index}").cast("string")))
         bad = found.where(F.size("items") > 0).select(F.xxhash64(F.col(f"c{index}").cast("string")).alias("__h")).distinct()

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallyloom.llm import _bytes as B
 from tallyloom.llm._store import Workspace
 
 # Element and attribute names of HTML, by role.
@@ -331,4 +332,4 @@ def extract(pages: DataFrame, keys: list[str], markup: str = "html", tree: Tree
                     at += len(own)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*batch.schema.names[:n], "text", "n_chars"])
 
-    return pages.select(*keys, F.col(markup).cast("string").alias("__html")).mapInArrow(scan, schema)
+    return pages.select(*keys, F.col(markup).cast("string").alias("__html")).mapInArrow(B.lean(scan), schema)

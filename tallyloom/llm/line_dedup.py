@@ -81,7 +81,7 @@ def lines_of(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, text_hash long, hashes array<long>, words array<int>, selected array<long>")
+    return rows.mapInArrow(B.lean(scan), "doc_id long, text_hash long, hashes array<long>, words array<int>, selected array<long>")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
@@ -117,7 +117,7 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(np.concatenate(firsts), pa.int32()), pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(wins), pa.int64())], names=[*key, "first", "end", "win"])
 
-    wins = space.table(candidates.mapInArrow(scan, "doc_id long, text_hash long, first int, end int, win long"), "windows")
+    wins = space.table(candidates.mapInArrow(B.lean(scan), "doc_id long, text_hash long, first int, end int, win long"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")
     origin = wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
     later = wins.join(origin, "win").where(place > F.col("origin"))
@@ -187,7 +187,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
                     spans.append(",".join(f"{r['first']}:{r['end']}" for r in own))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(np.diff(edges), pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.string()), pa.array(texts, pa.string())], names=[*batch.schema.names[:n], "n_lines", "n_removed", "removed", "text"])
 
-    return both.mapInArrow(scan, schema)
+    return both.mapInArrow(B.lean(scan), schema)
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -238,7 +238,7 @@ def _selected(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(places, bounds), pa.int32()), pa.array(marks.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), lists], names=["doc_id", "text_hash", "marks"])
 
-    return _keyed(docs, doc_id, text).mapInArrow(scan, "doc_id long, text_hash long, marks array<long>")
+    return _keyed(docs, doc_id, text).mapInArrow(B.lean(scan), "doc_id long, text_hash long, marks array<long>")
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -282,7 +282,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 wins = _run_hashes(words, least)[first].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - bounds[owner]).astype(np.int32)), pa.array(wins)], names=[*key, "first", "win"])
 
-    wins = space.table(candidates.mapInArrow(scan, "doc_id long, text_hash long, first int, win long"), "windows")
+    wins = space.table(candidates.mapInArrow(B.lean(scan), "doc_id long, text_hash long, first int, win long"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")
     origin = wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("win", "origin")
     spans = wins.join(origin, "win").where(place > F.col("origin")).groupBy(*key).agg(F.collect_list("first").alias("firsts"))
@@ -353,4 +353,4 @@ def dedup_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     texts.append(body.decode())
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), pa.array(np.diff(edges), pa.int64()), pa.array(gone), pa.array(spans, pa.string()), pa.array(texts, pa.string())], names=[*batch.schema.names[:n], "n_lines", "n_removed", "removed", "text"])
 
-    return both.mapInArrow(scan, schema)
+    return both.mapInArrow(B.lean(scan), schema)

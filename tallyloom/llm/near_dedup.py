@@ -31,6 +31,7 @@ BANDS, ROWS = 24, 5
 K = BANDS * ROWS
 STARS = 1  # rounds of comparison with the most central member of each open bucket
 SHINGLE = 5
+SEEN = 50_000  # texts that a worker remembers, so that it makes the signature of a copy only once
 SIMILARITY = 0.8
 
 
@@ -122,7 +123,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
                 if node not in seen:
                     fresh.append(i)
                     seen.add(node)
-            if len(seen) > 1_000_000:
+            if len(seen) > SEEN:
                 seen.clear()
             out: list = [None] * batch.num_rows
             for a, b, raw, at in B.in_slices(batch.column(2).take(pa.array(fresh, pa.int64()))):
@@ -135,7 +136,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(body)).alias("node"), body.alias("text"))
-    return rows.mapInArrow(scan, "id long, node binary, bands array<long>")
+    return rows.mapInArrow(B.lean(scan), "id long, node binary, bands array<long>")
 
 
 def _shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
@@ -155,7 +156,7 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, k
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.md5(body)).alias("node"), body.alias("text"))
     on = (F.col("r.node") == F.col("w.node")) & F.col("r.id").eqNullSafe(F.col("w.rep"))
-    return rows.alias("r").join(wanted.alias("w"), on, "left_semi").select("node", "text").mapInArrow(scan, "node binary, grams array<long>, counts array<int>").dropDuplicates(["node"])
+    return rows.alias("r").join(wanted.alias("w"), on, "left_semi").select("node", "text").mapInArrow(B.lean(scan), "node binary, grams array<long>, counts array<int>").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
@@ -173,7 +174,7 @@ def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
             out = [similarity(one(ga[i], ca[i]), one(gb[i], cb[i])) >= least - 1e-12 for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], names=["a", "b", "linked"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "ca", "gb", "cb").mapInArrow(scan, "a binary, b binary, linked boolean")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "ca", "gb", "cb").mapInArrow(B.lean(scan), "a binary, b binary, linked boolean")
 
 
 def components(space: Workspace, edges: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def trained(sample: DataFrame, fit):
 
     Workspace(sample.sparkSession, "train")
     one = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("t", "y")
-    got = one.mapInArrow(run, "model binary").first()
+    got = one.mapInArrow(B.lean(run), "model binary").first()
     return pickle.loads(got.model) if got else None
 
 
@@ -206,16 +206,18 @@ def score(docs: DataFrame, model: Model | None, keys: list[str], text: str = "te
             schema = schema.add(name, "long")
         schema = schema.add("base_failed", "boolean").add("p_low", "double").add("kept", "boolean")
 
+    at = keys.index(text) if text in keys and docs.schema[text].dataType.simpleString() == "string" else len(keys)
+
     def scan(batches, n=len(keys)):
         model = shared.value
         for batch in batches:
             parts: dict[str, list] = {name: [] for name in (*COUNTS, "base_failed", "p_low", "kept")}
-            for _, _, raw, at in B.in_slices(batch.column(n)):
-                t = Text(raw, at)
+            for _, _, raw, edges in B.in_slices(batch.column(at)):
+                t = Text(raw, edges)
                 counts = t.counts()
                 bad = None if model is None else model.bad(t)
                 failed, kept = _verdict(counts, bad, reject_at)
-                for name, value in (*counts.items(), ("base_failed", failed), ("kept", kept), ("p_low", np.full(len(at) - 1, np.nan) if bad is None else bad)):
+                for name, value in (*counts.items(), ("base_failed", failed), ("kept", kept), ("p_low", np.full(len(edges) - 1, np.nan) if bad is None else bad)):
                     parts[name].append(value)
             if not parts["kept"]:
                 continue
@@ -229,7 +231,8 @@ def score(docs: DataFrame, model: Model | None, keys: list[str], text: str = "te
                 more += [pa.array(columns["base_failed"]), pa.array(columns["p_low"], mask=np.isnan(columns["p_low"])), pa.array(columns["kept"])]
                 yield pa.RecordBatch.from_arrays([*keep, *more], names=[*batch.schema.names[:n], *COUNTS, "base_failed", "p_low", "kept"])
 
-    return docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(scan, schema)
+    more = [F.col(text).cast("string").alias("__text")] if at == len(keys) else []
+    return docs.select(*keys, *more).mapInArrow(B.lean(scan), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -237,5 +240,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int
     names = docs.columns
     columns = [f"c{i}" for i in range(len(names))]
     model = train(docs, labels, rows)
-    plain = docs.toDF(*columns)
-    return score(plain.withColumn("__t", F.col(f"c{names.index(text)}")), model, columns, text="__t", only_kept=True).toDF(*names)
+    return score(docs.toDF(*columns), model, columns, text=columns[names.index(text)], only_kept=True).toDF(*names)

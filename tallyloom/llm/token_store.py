@@ -35,8 +35,8 @@ END_ID = 2
 TRAIN_DOCS = 600  # documents of the dictionary's sample, those with the lowest hash of their id
 TRAIN_BYTES = 6 << 20
 DICTIONARY_BYTES = 64 << 10
-SHARD_IDS = 3 << 20
-CACHE_BITS = 21  # a worker remembers the ids of up to three quarters of so many chunks
+SHARD_IDS = 1 << 20
+CACHE_BITS = 19  # a worker remembers the ids of up to three quarters of so many chunks
 LEVEL = 3
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -272,7 +272,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
         yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["dictionary"])
 
     one = rows.groupBy("i").agg(F.min("t").alias("t")).repartition(1).sortWithinPartitions(F.xxhash64("i"), "i").select("t")
-    got = one.mapInArrow(run, "dictionary binary").first()
+    got = one.mapInArrow(B.lean(run), "dictionary binary").first()
     return bytes(got.dictionary) if got else b""
 
 
@@ -289,10 +289,11 @@ def pack(dictionary: bytes, range_: int, sequence: int, ids: list, frames: list[
 class Shard:
     """One file, opened. Documents are decompressed only when asked for."""
 
-    def __init__(self, data: bytes, dictionary: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data, dictionary: bytes):
+        data = memoryview(data)
+        if bytes(data[:8]) != MAGIC:
             raise ValueError("not a token shard")
-        self.digest = data[8:40]
+        self.digest = bytes(data[8:40])
         if self.digest != (hashlib.sha256(dictionary).digest() if dictionary else bytes(32)):
             raise ValueError("the shard was written with another dictionary")
         self.range, self.sequence, n, self.total, self.width = (int(x) for x in np.frombuffer(data, "<i8", 5, 40))
@@ -301,7 +302,7 @@ class Shard:
         self.nulls = np.frombuffer(data, "<i1", n, at + 8 * n).astype(bool)
         self.counts = np.frombuffer(data, "<i8", n, at + 9 * n)
         self.offsets = np.frombuffer(data, "<i8", n + 1, at + 17 * n)
-        self.frames = memoryview(data)[at + 17 * n + 8 * (n + 1) :]
+        self.frames = data[at + 17 * n + 8 * (n + 1) :]
         self.open = _decompressor(dictionary)
 
     def __len__(self):
@@ -370,7 +371,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
         if ids:
             yield full()
 
-    ordered.mapInArrow(shards, "data binary").select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{folder}/shards")
+    ordered.mapInArrow(B.lean(shards), "data binary").select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(f"{folder}/shards")
     spark.createDataFrame([(dictionary, hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").coalesce(1).write.parquet(f"{folder}/dictionary")
     return dictionary
 
@@ -394,7 +395,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for value in batch.column(0):
-                shard = Shard(value.as_py(), dictionary)
+                shard = Shard(value.as_buffer(), dictionary)
                 first = np.cumsum(shard.counts) - shard.counts
                 for a in range(0, len(shard), 500):
                     b = min(len(shard), a + 500)
@@ -405,7 +406,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                         pa.array(first[a:b]), pa.array(shard.counts[a:b]), lists, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     ], names=["range", "sequence", "place", "doc_id", "first", "n_tokens", "ids", "ids_crc32"])
 
-    return _files(spark, folder).mapInArrow(documents, "range long, sequence long, place long, doc_id long, first long, n_tokens long, ids array<int>, ids_crc32 long")
+    return _files(spark, folder).mapInArrow(B.lean(documents), "range long, sequence long, place long, doc_id long, first long, n_tokens long, ids array<int>, ids_crc32 long")
 
 
 def index(spark: SparkSession, folder: str) -> DataFrame:
@@ -415,7 +416,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     def documents(batches):
         for batch in batches:
             for value in batch.column(0):
-                shard = Shard(value.as_py(), dictionary)
+                shard = Shard(value.as_buffer(), dictionary)
                 n = len(shard)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, shard.range)), pa.array(np.full(n, shard.sequence)), pa.array(shard.ids, mask=shard.nulls),
@@ -423,7 +424,7 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
                 ], names=["range", "sequence", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     space = Workspace(spark, "token-index")
-    rows = space.table(_files(spark, folder).mapInArrow(documents, "range long, sequence long, doc_id long, first long, n_tokens long, ids_crc32 long"), "rows")
+    rows = space.table(_files(spark, folder).mapInArrow(B.lean(documents), "range long, sequence long, doc_id long, first long, n_tokens long, ids_crc32 long"), "rows")
     shards = rows.groupBy("range", "sequence").agg(F.sum("n_tokens").alias("n"))
     # Two steps, so that no task orders all shards: ranges first, then the shards of each range.
     ranges = shards.groupBy("range").agg(F.sum("n").alias("n")).select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("base"))

@@ -143,4 +143,4 @@ def score(docs: DataFrame, model: Model | None, keys: list[str], text: str = "te
                     more = [pa.array(p.sum(1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= toxic_at)]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:n]), *more], names=[*batch.schema.names[:n], "severity", "p_toxic", "toxic"])
 
-    return docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(scan, schema)
+    return docs.select(*keys, F.col(text).cast("string").alias("__text")).mapInArrow(B.lean(scan), schema)
