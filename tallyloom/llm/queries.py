@@ -50,7 +50,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.find(_table(spark, sf_dir, "documents"))
     digest = F.sha2(_pii.joined(F.col("base_spans")), 256).alias("base_sha256")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, _pii.joined(F.col("all_spans")).alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest, _pii.joined(F.col("all_spans")).alias("spans"), "n_other", (F.size("all_spans") > 0).alias("personal"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
