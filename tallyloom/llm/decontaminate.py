@@ -6,7 +6,8 @@ the size class; one pass of MinHash over the smallest blocks gives the minima of
 larger block is a union of smaller ones. Two neighbouring blocks hold any item of their class whole, so
 that the similarity of item and window is about 0.2 at least, and 64 bands of one row each lose such a
 pair with a probability below 1e-6; an item scattered over a document meets as many bands in all. Items of
-up to TINY shingles are looked up directly. Every candidate is then verified: the exact share of the
+up to TINY shingles are looked up directly, and an item of fewer words than a shingle is one run of all its words, looked
+up among the document's runs of so many words. Every candidate is then verified: the exact share of the
 item's distinct shingles that the whole document holds must reach the threshold.
 
 Nothing of the documents is shuffled or collected. Items are taken in blocks of at most `block_bytes`
@@ -38,13 +39,26 @@ class ItemIndex:
         raw, at = B.text_bytes(pa.array(texts, pa.string()))
         start, end, bounds = B.words(raw, at)
         values, owner = B.shingles(B.Hasher(raw).spans(start, end), bounds, k)
-        long = np.flatnonzero(np.diff(bounds) >= k)
-        for i in long:
+        n = np.diff(bounds)
+        order = np.argsort(owner, kind="stable")
+        values, edges = values[order], np.searchsorted(owner[order], np.arange(len(ids) + 1))
+        for i in np.flatnonzero(n >= k):
             self.ids.append(ids[i])
-            self.sets.append(np.unique(values[owner == i]))
+            self.sets.append(np.unique(values[edges[i] : edges[i + 1]]))
+        self.whole = {}  # by number of words: sorted hashes of the short items, and the items
+        for length in range(1, k):
+            own = np.flatnonzero(n == length)
+            if len(own):
+                runs = B.windows(B.Hasher(raw).spans(start, end), bounds, length)
+                run = runs[0][np.searchsorted(runs[1], bounds[own])]
+                sort = np.argsort(run)
+                self.whole[length] = (run[sort], len(self.ids) + sort)
+                self.ids += [ids[i] for i in own]
+                self.sets += [run[j : j + 1] for j in range(len(own))]
         size = np.array([len(s) for s in self.sets], np.int64)
         self.level = np.where(size <= TINY, -1, np.floor(np.log2(np.maximum(size, 1)))).astype(int)
-        tiny = np.flatnonzero(self.level < 0)
+        shorter = sum(len(items) for _, items in self.whole.values())
+        tiny = np.flatnonzero(self.level[: len(self.ids) - shorter] < 0)
         pairs = sorted((int(v), int(i)) for i in tiny for v in self.sets[i])
         self.tiny = (np.array([v for v, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64))
         self.levels = {}
@@ -60,7 +74,13 @@ class ItemIndex:
     def find(self, raw: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
         """(text index, item index, containment) of the texts' verified hits."""
         start, end, bounds = B.words(raw, at)
-        values, first = B.windows(B.Hasher(raw).spans(start, end), bounds, self.k)
+        hashes = B.Hasher(raw).spans(start, end)
+        for length, (keys, items) in self.whole.items():
+            values, first = B.windows(hashes, bounds, length)
+            whole: set[tuple[int, int]] = set()
+            self._look_up(keys, items, values, first, lambda i: np.searchsorted(bounds, i, "right") - 1, whole)
+            yield from ((d, i, 1.0) for d, i in whole)
+        values, first = B.windows(hashes, bounds, self.k)
         if not len(values) or not self.ids:
             return
         edges = np.searchsorted(first, bounds)  # shingles before each text
@@ -81,6 +101,8 @@ class ItemIndex:
 
     @staticmethod
     def _look_up(keys, items, values, places, owner, found):
+        if not len(values):
+            return
         lo = np.searchsorted(keys, values, "left")
         hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == values)
         if not len(hit):
@@ -133,8 +155,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "
     """One row per document and block of items: the key columns, items (sorted ids that the document
     contains) and containment (the largest share).
 
-    Null and empty texts hold nothing. Items of fewer than k words have no shingle and are never found;
-    items with a null id or text are left out. Items that share an id count as one, found if any is.
+    Null and empty texts hold nothing. Items of fewer than k words are found where all their words stand in a row; items
+    without a word, or with a null id or text, are left out. Items that share an id count as one, found if any is.
     Repeated rows are answered one by one. Other columns of either table are not looked at.
     """
     spark = docs.sparkSession
@@ -172,7 +194,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row per document: key, contaminated, n_items, items, containment. Documents that share a key are
     answered one by one."""
-    spread = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(options.get("text", "text")).cast("string"), F.lit(""))))
+    spread = docs.withColumn("__hash", F.md5(F.coalesce(F.col(options.get("text", "text")).cast("string"), F.lit(""))))
     found = find_leaks(spread, items, [key, "__hash"], **options)
     blocks = getattr(found, "_tallyloom_blocks", 1)
     if blocks > 1:
@@ -190,7 +212,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **optio
     index = names.index(text)
     found = find_leaks(plain, items, columns, text=f"c{index}", **options)
     if getattr(found, "_tallyloom_blocks", 1) > 1:
-        marked = plain.withColumn("__h", F.xxhash64(F.col(f"c{index}").cast("string")))
-        bad = found.where(F.size("items") > 0).select(F.xxhash64(F.col(f"c{index}").cast("string")).alias("__h")).distinct()
+        # Equal texts have equal answers, so the answers of all blocks meet by text.
+        marked = plain.withColumn("__h", F.md5(F.col(f"c{index}").cast("string")))
+        bad = found.where(F.size("items") > 0).select(F.md5(F.col(f"c{index}").cast("string")).alias("__h")).distinct()
         return marked.join(bad, "__h", "left_anti").select(*columns).toDF(*names)
     return found.where(F.size("items") == 0).select(*columns).toDF(*names)
