@@ -4,7 +4,9 @@ A group is all rows with equal text (by 64-bit hash); a shard holds it whole. Gr
 hash. A heavy group, larger than the GRAIN-th part of a shard, is an atom of its own; all other groups are
 gathered into hash bins, each an atom. There are at most shards * GRAIN of either kind, whatever the size of
 the input, so the driver may hold their sizes. It binary-searches the smallest capacity with which a greedy
-walk over the ordered atoms needs no more than the given number of shards, and cuts there.
+walk over the ordered atoms needs no more than the given number of shards. The cuts are those within that capacity that
+leave the shards as even as it allows. A bin is not one group: the capacity is the least for the atoms, which can be above
+the least for the groups themselves by no more than the largest bin, about a GRAIN-th part of a shard.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from tallyloom.llm._store import Workspace
 
 SHARDS = 24
 GRAIN = 2048
-SLOT_ROWS = 50_000  # rows that one task numbers, about
+SLOT_ROWS = 10_000  # rows that one task numbers, about
 
 
 def greedy_cuts(sizes: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -72,7 +74,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     """doc_id, size (UTF-8 bytes and 8), text_crc32, shard, slot (from 0, without gaps in each shard).
 
     A null text has no bytes: size 8, crc 0, in one group with empty texts. Null ids are placed as any other and come
-    first among equal texts. Repeated rows are in one shard, in neighbouring slots that are interchangeable. An empty
+    first among equal texts of a group that is not heavy. Slots follow a hash and do not depend on the number of tasks. Repeated rows are in one shard, in neighbouring slots that are interchangeable. An empty
     table gives no rows; fewer atoms than shards leave some shards empty.
     """
     spark = docs.sparkSession
@@ -96,12 +98,12 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
     singles = F.broadcast(known.where("heavy is not null").select(F.col("heavy").alias("key"), F.col("shard").alias("own")))
     shared = F.broadcast(known.where("heavy is null").select("bin", "shard"))
     out = rows.withColumn("bin", binned).join(singles, "key", "left").join(shared, "bin", "left")
-    parts = max(1, -(-count // (shards * SLOT_ROWS)), min(64, count // 2000))
-    # Part of a shard: by group, for the rows of a heavy group by id too; each part is numbered by one task.
-    part = F.pmod(F.when(F.col("own").isNotNull(), F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key")), F.lit(parts))
-    out = out.select("doc_id", "size", "text_crc32", "key", F.coalesce("own", "shard").alias("shard"), part.alias("part"))
+    parts = 1 + count // (shards * SLOT_ROWS)
+    # Part of a shard: a range of a hash of the group, for the rows of a heavy group of the id too; each part is numbered by one task.
+    spread = F.shiftrightunsigned(F.when(F.col("own").isNotNull(), F.xxhash64("key", "doc_id")).otherwise(F.xxhash64("key")), 33)
+    out = out.select("doc_id", "size", "text_crc32", "key", F.coalesce("own", "shard").alias("shard"), spread.alias("spread"), F.shiftright(spread * parts, 31).alias("part"))
     out = space.table(out, "placed")
     counts = out.groupBy("shard", "part").agg(F.count("*").alias("n"))
     bases = counts.select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    inner = F.row_number().over(W.partitionBy("shard", "part").orderBy("key", F.col("doc_id").asc_nulls_first(), "text_crc32", "size")) - 1
+    inner = F.row_number().over(W.partitionBy("shard", "part").orderBy("spread", "key", F.col("doc_id").asc_nulls_first(), "text_crc32", "size")) - 1
     return out.withColumn("inner", inner).join(bases, ["shard", "part"]).select(F.col("doc_id").alias(doc_id), "size", "text_crc32", "shard", (F.col("base") + F.col("inner")).alias("slot"))
