@@ -1,8 +1,8 @@
 """Quality rules: base counts of each text, and a calibrated classifier on hashed word and character n-grams.
 
 The classifier is a logistic regression on the relative frequencies of hashed word 1- and 2-grams and of
-hashed byte 4-grams, trained on the labelled rows (a bounded sample of them: TRAIN_ROWS, taken by hash) and
-calibrated by Platt scaling on a held-out fold. Documents are scored in Arrow batches; a document is
+hashed character (code point) 4-grams, trained on the labelled rows (a bounded sample of them: TRAIN_ROWS and
+TRAIN_CHARS, taken by hash) and calibrated by Platt scaling on a held-out fold. Documents are scored in Arrow batches; a document is
 rejected if the base rules fail or the calibrated probability of low quality reaches REJECT_AT.
 """
 
@@ -19,7 +19,7 @@ from tallyloom.llm._linear import Rows, fit_logistic, platt
 from tallyloom.llm._store import Workspace
 
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 32 << 20  # characters of the sample's texts, about, at most
+TRAIN_CHARS = 32 << 20  # characters of the sample's texts; the row that reaches them is the last
 REJECT_AT = 0.5
 BITS = 14
 SYMBOLS = np.zeros(256, np.int64)
@@ -80,20 +80,23 @@ class Text:
         }
 
     def features(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(bucket of each n-gram, edges by text) for words, word pairs and byte 4-grams."""
+        """(bucket of each n-gram, edges by text) for words, word pairs and code point 4-grams."""
         bits = np.uint64(64 - BITS)
         word = (self.hashes >> bits).astype(np.int32)
         pair, first = B.windows(self.hashes, self.bounds, 2)
         pair_edges = np.searchsorted(first, self.bounds)
         out = [(word, self.bounds), ((pair >> bits).astype(np.int32) + (1 << BITS), pair_edges)]
-        raw = self.raw
-        if len(raw) >= 4:
-            r = raw.astype(np.uint32)
-            gram = r[:-3] | r[1:-2] << np.uint32(8) | r[2:-1] << np.uint32(16) | r[3:] << np.uint32(24)
+        points = np.frombuffer(self.raw.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
+        if len(points) >= 4:
+            lead = np.zeros(len(self.raw) + 1, np.int64)
+            np.cumsum(LEAD[self.raw], out=lead[1:])
+            at = lead[self.at]
+            gram = points[3:].copy()
+            for j in (2, 1, 0):
+                gram = gram * np.uint32(0x01000193) + points[j : len(points) - 3 + j]
             gram = ((gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32) + (2 << BITS)
-            ends = np.maximum(np.minimum(self.at[1:] - 3, len(gram)), np.minimum(self.at[:-1], len(gram)))
-            begins = np.minimum(self.at[:-1], len(gram))
-            out.append((gram, (begins, ends)))
+            begins = np.minimum(at[:-1], len(gram))
+            out.append((gram, (begins, np.maximum(np.minimum(at[1:] - 3, len(gram)), begins))))
         return out
 
 
@@ -145,15 +148,16 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, rows: int, doc_id:
     return got.groupBy("id", "y").agg(F.min("t").alias("t"))
 
 
-def trained(sample: DataFrame, fit):
+def trained(sample: DataFrame, fit, chars: int = TRAIN_CHARS):
     """fit(texts, labels), run as one task over the bounded sample in the order of the ids' hash, so that the driver
-    needs no memory for it; only the model comes back."""
+    needs no memory for it; only the model comes back. Texts after the one with which the sample holds `chars` characters
+    are not used."""
 
     def run(batches):
         texts, y, size = [], [], 0
         for batch in batches:
             for t, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if size <= TRAIN_BYTES:
+                if size <= chars:
                     texts.append(t)
                     y.append(label)
                     size += len(t)
@@ -166,6 +170,8 @@ def trained(sample: DataFrame, fit):
 
 
 def fit(texts: list[str], quality: np.ndarray) -> Model | None:
+    """A fifth of the texts is held out for the calibration. Where that fold or the rest lacks a class (a handful of labels), the
+    weights are fitted on all and calibrated on the same texts, so that the probabilities are too sure of themselves."""
     bad = (quality == 0).astype(float)
     if not 0 < bad.sum() < len(bad):
         return None
@@ -180,9 +186,10 @@ def fit(texts: list[str], quality: np.ndarray) -> Model | None:
     return Model(w.astype(np.float32), b, slope, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """The model of low quality (labels.quality = 0). None if the sample lacks either class."""
-    return trained(labelled(docs, labels, "quality", rows), fit)
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
+    """The model of low quality (labels.quality = 0), fitted on a sample of at most `rows` labelled documents, and of those,
+    by hash of the id, the first that hold `chars` characters together. None if the sample lacks either class."""
+    return trained(labelled(docs, labels, "quality", rows), fit, chars)
 
 
 def _verdict(counts: dict, bad: np.ndarray | None, reject_at: float) -> tuple[np.ndarray, np.ndarray]:

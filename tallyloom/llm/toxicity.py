@@ -7,7 +7,10 @@ Features that few toxic texts of the sample have, or other texts hardly less oft
 copies in the sample. The labels tell toxic from not; the grades are made from them: 0 not toxic, 1 and 2 toxic, 2 where the features that a first
 estimate by log-odds ties to toxic texts weigh more than in the median toxic text. One weight vector is shared
 by both ordered thresholds; the result is the expected grade, sum over j of P(grade > j). The training sample is
-bounded (TRAIN_ROWS, taken by hash of the id).
+bounded (TRAIN_ROWS and TRAIN_CHARS, taken by hash of the id).
+
+What is validated on held-out labels is P(grade > 0), toxic or not. The order within toxic texts is the model's own measure
+(how much of a text is of the kind that toxic texts have); no graded labels exist to hold it against.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyloom.llm import _bytes as B
 from tallyloom.llm._linear import Rows, fit_ordinal, sigmoid
 from tallyloom.llm._store import Workspace
-from tallyloom.llm.quality import labelled, trained
+from tallyloom.llm.quality import TRAIN_CHARS, labelled, trained
 
 TRAIN_ROWS = 3000
 BITS = 18
@@ -72,9 +75,10 @@ class Model:
         return sigmoid((total[edges[1:]] - total[edges[:-1]])[:, None] - self.thresholds[None, :])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """None if the sample lacks toxic or other texts."""
-    return trained(labelled(docs, labels, "toxic", rows), fit)
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model | None:
+    """Fitted on a sample of at most `rows` labelled documents, and of those, by hash of the id, the first that hold `chars`
+    characters together. None if the sample lacks toxic or other texts."""
+    return trained(labelled(docs, labels, "toxic", rows), fit, chars)
 
 
 def one_of_each(texts: list[str]) -> list[int]:
