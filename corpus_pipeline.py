@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import decontaminate, mixing, near_dedup, quality, token_store
-from tallyloom.llm._store import Workspace
+from tallyloom.llm._store import Workspace, tidied
 from tallyloom.llm.queries import tokenizer_path
 
 
@@ -28,14 +28,15 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of its schedule."""
     return mixing.apply_mix(docs)
 
 
 def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the shards."""
+    """doc_id, start, n_tokens and ids_crc32 of every document in the shards, which keep the order of the mix: that of the rows in its files."""
     folder = Workspace(spark, "pipeline").path
-    token_store.write(docs, folder, tokenizer_path())
+    rows, order = token_store.in_file_order(docs)
+    token_store.write(rows, folder, tokenizer_path(), order=order)
     return token_store.index(spark, folder)
 
 
@@ -55,7 +56,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "corpus")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number + 1 < len(STAGES):
-            docs = space.table(docs, f"stage{number + 1}")
-    return docs
+        if number + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with tidied(spark):  # what the stage's steps have written goes when its result is
+            done = space.table(stage(spark, docs, sf_dir), f"stage{number + 1}")
+        if number:
+            space.drop(docs)
+        docs = done

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,20 @@ from tallyloom.sources.shipping import ship
 
 #: Rows in an Arrow batch, where the session doesn't say: documents are long, and a batch is held by JVM and worker at once.
 BATCH_ROWS = 2000
+_watchers: list[list] = []
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Closes, at the end, the workspaces that were opened within."""
+    opened: list[Workspace] = []
+    _watchers.append(opened)
+    try:
+        yield
+    finally:
+        _watchers[:] = [w for w in _watchers if w is not opened]
+        for space in opened:
+            space.close()
 
 
 class Workspace:
@@ -24,6 +40,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for opened in _watchers:
+            opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -38,6 +56,10 @@ class Workspace:
         for table in tables:
             self.remove(table._tallyloom_path)
 
+    def close(self) -> None:
+        """Removes all of its tables; for when the result has been written elsewhere."""
+        self.remove(self.path)
+
     def remove(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

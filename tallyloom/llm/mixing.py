@@ -6,8 +6,13 @@ source takes the r-th block of its stream: its documents in a shuffled order, cu
 words, the stream repeating up to MAX_REPEATS times. A source has as many slots as its target has blocks
 (the last one partial); the few that the points don't provide come at the end.
 
-Nothing is ordered in one task: streams are ordered within hash buckets of each source, slots within
-stretches of the schedule, and both are offset by small tables of their totals.
+What the mix takes is what the scheduled blocks hold: documents are cut at the blocks' edges and each piece meets its
+slot. `mix` counts the words of the pieces and says in which slot a document comes first; `apply_mix` gives each copy
+of a document the slot of the block that holds its first word, and returns the copies in the order of the schedule.
+
+Nothing is ordered in one task: streams are ordered within ranges of the documents' hashes, as many as the input needs
+(the order does not depend on their number), slots within stretches of the schedule, and both are offset by small
+tables of their totals.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from tallyloom.llm._store import Workspace
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 1 << 14
-BUCKETS = 64
+BUCKET_ROWS = 20_000  # rows that one task orders, about
 STRETCH = 1 << 16
 CELLS = 1 << 12
 GOLDEN = 0.6180339887498949
@@ -66,9 +71,11 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     """
     space = Workspace(docs.sparkSession, "mix")
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(seed)))
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int") % BUCKETS)
-    rows = space.table(rows, "sizes")
+    rows = space.table(rows.withColumn("key", key).withColumn("place", place), "sizes")
+    parts = 1 + rows.count() // BUCKET_ROWS
+    rows = rows.withColumn("bucket", F.shiftright(F.col("place") * parts, 32)).drop("place")
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     at_bucket = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     buckets = buckets.select("source", "bucket", (F.sum("n").over(at_bucket) - F.col("n")).alias("base"))
@@ -107,47 +114,56 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     return main.unionByName(tail).select("slot", "source", "block", begin.alias("begin"), F.least(begin + block, F.col("quota")).alias("end"))
 
 
-def taken(documents: DataFrame, schedule_: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """documents with taken: the words that the scheduled blocks take of each, repeats counted.
-
-    Each document's copies in the repeated stream are cut at the blocks' edges; the pieces meet their slot by
-    source and block.
-    """
+def pieces(documents: DataFrame, schedule_: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The documents' copies in the repeated streams, cut at the edges of the scheduled blocks: the columns of documents,
+    pass, slot, words (of the piece) and leads (whether it holds the copy's first word), where a block takes a word."""
     copies = documents.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))).withColumn("from", F.col("begin") + F.col("pass") * F.col("source_size"))
     copies = copies.where(F.col("from") < F.col("target") + 1)
-    pieces = copies.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))))
+    cut = copies.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))))
     on = F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.block") == F.col("s.block"))
-    met = pieces.alias("p").join(schedule_.alias("s"), on)
-    words = F.greatest(F.lit(0), F.least(F.col("p.from") + F.col("p.size"), F.col("s.end")) - F.greatest(F.col("p.from"), F.col("s.begin")))
-    sums = met.groupBy("p.source", "p.begin").agg(F.sum(words).alias("taken"))
+    met = cut.alias("p").join(schedule_.alias("s"), on)
+    words = F.least(F.col("p.from") + F.col("p.size"), F.col("s.end")) - F.greatest(F.col("p.from"), F.col("s.begin"))
+    leads = (F.col("p.from") >= F.col("s.begin")) & (F.col("p.from") < F.col("s.end"))
+    return met.select(*[f"p.{c}" for c in documents.columns], "p.pass", "s.slot", words.alias("words"), leads.alias("leads")).where("words > 0")
+
+
+def taken(documents: DataFrame, schedule_: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """documents with taken (the words that the scheduled blocks take of each, repeats counted) and first_slot (the first slot that takes of it; null: none)."""
+    sums = pieces(documents, schedule_, block).groupBy("source", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = documents.alias("d").join(sums.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.begin") == F.col("t.begin")) & (F.col("d.size") > 0), "left")
-    return out.select("d.*", F.coalesce("t.taken", F.lit(0)).alias("taken"))
+    return out.select("d.*", F.coalesce("t.taken", F.lit(0)).alias("taken"), F.when(F.col("d.size") > 0, F.col("t.first_slot")).alias("first_slot"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document.
+    """doc_id, size, source_size, target, taken, first_slot of every document.
 
     Null texts have size 0, a null source is a source of its own (the last), null ids are mixed as any other.
     Repeated rows have places of their own in the stream. An empty table gives no rows.
     """
     documents, _, slots = plan(docs, doc_id, text, source, **options)
     out = taken(documents, slots, options.get("block", BLOCK_WORDS))
-    return out.select(F.col("doc_id").alias(doc_id), "size", "source_size", "target", "taken")
+    return out.select(F.col("doc_id").alias(doc_id), "size", "source_size", "target", "taken", "first_slot")
 
 
 def apply_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mixed documents with all their columns: each as often as its first word is taken."""
-    documents, sources, _ = plan(docs, doc_id, text, source, **options)
-    quota = F.least(F.round("target").cast("long"), MAX_REPEATS * F.col("source_size"))
-    copies = sum((F.when(F.col("begin") + k * F.col("source_size") < quota, 1).otherwise(0) for k in range(MAX_REPEATS)), F.lit(0))
+    """The mixed documents with all their columns, in the order of the schedule: a document comes as often as scheduled
+    blocks hold its first word, each time in that block's slot, and within a slot in the order of the stream.
+
+    Documents without a word are in no block and go. The order is that of the partitions, and of the rows in each; files
+    written from it keep it.
+    """
+    documents, _, slots = plan(docs, doc_id, text, source, **options)
+    led = pieces(documents, slots, options.get("block", BLOCK_WORDS)).where("leads").groupBy("source", "begin").agg(F.collect_list("slot").alias("slots"))
     # Repeated rows share id, source and text; they are told apart by their number.
     nth = F.row_number().over(W.partitionBy("doc_id", "source", "text_hash").orderBy("begin"))
-    counted = documents.select("doc_id", "source", "text_hash", "size", copies.alias("copies"), nth.alias("nth")).where("size > 0 and copies > 0")
+    sized = documents.where("size > 0").select("doc_id", "source", "text_hash", "begin", nth.alias("nth")).alias("d")
+    counted = sized.join(led.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.begin") == F.col("l.begin"))).select("d.*", "l.slots")
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {k: F.col(f"c{names.index(v)}") for k, v in (("doc_id", doc_id), ("text", text), ("source", source))}
     keyed = plain.select("*", at["doc_id"].alias("__i"), at["source"].cast("string").alias("__s"), F.xxhash64(F.coalesce(at["text"].cast("string"), F.lit(""))).alias("__h"))
     keyed = keyed.withColumn("__n", F.row_number().over(W.partitionBy("__i", "__s", "__h").orderBy(F.lit(1))))
     on = F.col("k.__i").eqNullSafe(F.col("n.doc_id")) & F.col("k.__s").eqNullSafe(F.col("n.source")) & (F.col("k.__h") == F.col("n.text_hash")) & (F.col("k.__n") == F.col("n.nth"))
-    out = keyed.alias("k").join(counted.alias("n"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("n.copies"))))
-    return out.select(*[f"k.{c}" for c in plain.columns]).toDF(*names)
+    out = keyed.alias("k").join(counted.alias("n"), on).select(*[f"k.{c}" for c in plain.columns], F.explode("n.slots").alias("__slot"), F.col("n.begin").alias("__begin"))
+    ordered = out.repartitionByRange("__slot", "__begin").sortWithinPartitions("__slot", "__begin")
+    return ordered.select(*plain.columns).toDF(*names)

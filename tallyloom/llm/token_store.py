@@ -25,6 +25,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallyloom.llm import _bytes as B
@@ -33,7 +34,7 @@ from tallyloom.llm._store import Workspace
 MAGIC = b"TLTOK001"
 END_ID = 2
 TRAIN_DOCS = 600  # documents of the dictionary's sample, those with the lowest hash of their id
-TRAIN_BYTES = 6 << 20
+TRAIN_CHARS = 6 << 20
 DICTIONARY_BYTES = 64 << 10
 SHARD_IDS = 1 << 20
 CACHE_BITS = 19  # a worker remembers the ids of up to three quarters of so many chunks
@@ -248,8 +249,15 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sample: int = TRAIN_DOCS) -> bytes:
-    """A zstandard dictionary for serialized ids; empty where the sample is too small to train one. It is trained by one task over the bounded sample."""
+def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", sample: int = TRAIN_DOCS, sample_chars: int = TRAIN_CHARS) -> bytes:
+    """A zstandard dictionary of DICTIONARY_BYTES for serialized ids, trained by one task.
+
+    The sample is bounded by two parameters: the whole texts of the `sample` ids with the lowest hash, as many of them, in
+    that order, until they hold `sample_chars` characters. A dictionary can't hold more than a small part of it, so that a
+    larger one gains nothing; it decides sizes only, never ids. Where the sample's ids hold less than 8 dictionaries
+    (small corpora), none is trained: the result is empty and frames are compressed without one. To train elsewhere,
+    give `write` a dictionary.
+    """
     ids = docs.select(F.col(doc_id).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null").join(F.broadcast(ids), "i")
 
@@ -259,7 +267,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", te
         texts, size = [], 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if size <= TRAIN_BYTES:
+                if size <= sample_chars:
                     texts.append(t)
                     size += len(t)
         samples = [x.tobytes() for x in encoder(tokenizer).encode(pa.array(texts, pa.string())) if len(x) >= 4]
@@ -331,18 +339,19 @@ def _compressor(dictionary: bytes):
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID,
-          shard_ids: int = SHARD_IDS, dictionary: bytes | None = None) -> bytes:
+          shard_ids: int = SHARD_IDS, dictionary: bytes | None = None, order: list[str] | None = None) -> bytes:
     """Writes the shards of all documents and the dictionary below `folder`; returns the dictionary.
 
-    Documents lie in ascending order of id, null ids first, rows of one id by text. A null text is empty and
+    Documents lie in ascending order of id, null ids first, rows of one id by text; or in that of the columns `order`. A null text is empty and
     has the end id alone. Repeated rows are written as often as they occur. An empty table gives no shard.
     """
     spark = docs.sparkSession
     Workspace(spark, "tokens")
     if dictionary is None:
         dictionary = train_dictionary(docs, tokenizer, doc_id, text)
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    ordered = rows.repartitionByRange("i").sortWithinPartitions("i", "t")
+    by = [f"o{n}" for n in range(len(order or []))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"), *[F.col(c).alias(b) for b, c in zip(by, order or [], strict=True)])
+    ordered = rows.repartitionByRange(*(by or ["i"])).sortWithinPartitions(*(by or ["i", "t"])).select("i", "t")
 
     def shards(batches, dictionary=dictionary):
         from pyspark import TaskContext
@@ -376,6 +385,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id",
     return dictionary
 
 
+def in_file_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str] | None]:
+    """doc_id and text, and the columns that give the order of the rows in the files that they are read from (None: they are not read from files)."""
+    try:
+        at = docs.select(doc_id, text, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        return docs, None
+    return at, ["file", "row"]
+
+
 def read_dictionary(spark: SparkSession, folder: str) -> bytes:
     row = spark.read.schema("dictionary binary, sha256 string").parquet(f"{folder}/dictionary").first()
     data = bytes(row.dictionary)
