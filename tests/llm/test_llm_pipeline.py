@@ -6,11 +6,13 @@ import duckdb
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tallyloom.llm import mixing, quality
 from tallyloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 
-from test_llm_operators import base_counts, brute_classes, grams, library_ids, words
+from test_llm_operators import base_counts, brute_classes, holds, library_ids, words
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -46,8 +48,8 @@ def test_stages(spark, sf_dir, tmp_path):
     rows = [(r.doc_id, r.text) for r in kept[0]]
     assert {r.doc_id for r in kept[1]} == {c for c, _ in brute_classes(rows).values()}
     # Leaks.
-    items = [set(grams(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(words(r.text)) >= 5]
-    clean = {r.doc_id for r in kept[1] if not any(len(s & set(grams(r.text))) / len(s) >= 0.8 for s in items)}
+    items = [words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    clean = {r.doc_id for r in kept[1] if not any(holds(words(r.text), i) >= 0.8 for i in items)}
     assert {r.doc_id for r in kept[2]} == clean
     # The mix: as often as the document's first word is taken, never more than three times.
     size, count, target = {}, {}, {}
@@ -60,8 +62,11 @@ def test_stages(spark, sf_dir, tmp_path):
     assert set(count) <= clean and max(count.values()) <= 3
     longest = max(len(words(r.text)) for r in kept[2])
     assert all(abs(size.get(s, 0) - t) <= longest for s, t in target.items())
-    # Tokens.
-    ordered = sorted(kept[3], key=lambda r: (r.doc_id, r.text))
+    # Tokens: in the order of the mix, which is that of the scheduled slots.
+    ordered = spark.read.parquet(f"{tmp_path}/3").select("doc_id", "text", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("r")).orderBy("f", "r").collect()
+    documents, _, slots = mixing.plan(spark.read.parquet(f"{tmp_path}/2"))
+    led = mixing.pieces(documents, slots).where("leads").orderBy("slot", "begin").collect()
+    assert [r.doc_id for r in ordered] == [r.doc_id for r in led]
     start = 0
     for r, ids, got in zip(ordered, library_ids([r.text or "" for r in ordered], tokenizer_path()), sorted(kept[4], key=lambda r: r.start), strict=True):
         ids = [*ids, 2]
