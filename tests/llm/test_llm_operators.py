@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -236,6 +237,33 @@ def test_raw_elements_end_at_their_end_tags(tree, page):
     assert [b.main for b in html_extract.blocks(page)] == [1, 1]
 
 
+ARTICLE = "<article><h1>The title here</h1><p>First words of the long article text which goes on and on for a while.</p><p>Second paragraph of it with more words.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><body>ARTICLE</body>", "<body><svg><path d=1>ARTICLE</body>", "<body><iframe src=x>ARTICLE", "<body><video src=x>ARTICLE", "<body><noscript>ARTICLE", "<canvas>ARTICLE",
+    "<object data=x>ARTICLE", "<body class='single has-sidebar'>ARTICLE</body>", "<body id='home-header'>ARTICLE</body>", "<body><div id='page' class='site tags-on'>ARTICLE</div></body>",
+    "<body><nav><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul>ARTICLE</body>", "<body><nav><a href=/>Home</a>ARTICLE", "<body><![CDATA[x > y]]>ARTICLE</body>",
+    "<body>ARTICLE<div class='zone7'>Buy our product now for less</div></body>", "<body><div class='zone7'>Buy our product now for less</div>ARTICLE</body>",
+    "<body>ARTICLE<div id=comments><article class=comment><p>Great read I liked all of it very much thank you for it</p></article></div></body>",
+    "<body>ARTICLE<section class=comments><article><div class=content><p>Great read I liked all of it very much thanks</p></div></article></section></body>",
+    "<body><form id=all>ARTICLE</form></body>", "<body><ul class=menu><li><a href=/>A</a><li><a href=/>B</a></ul>ARTICLE",
+    "<body><div class='cookie-banner'><p>We use cookies to make this site better for all of you</p></div>ARTICLE",
+    "<body><header class='site-header'><h1>My Site</h1><p>tag line words</p></header>ARTICLE<aside>x y z</aside>",
+])
+@pytest.mark.parametrize("named", ["<article>", "<article class='share-enabled post'>", "<article class='article-with-header-image'>", "<main>"])
+def test_main_text_among_much_else(tree, page, named):
+    page = page.replace("ARTICLE", ARTICLE.replace("<article>", named).replace("</article>", f"</{named[1:-1].split()[0]}>"))
+    assert html_extract.main_text(page, tree) == "The title here\nFirst words of the long article text which goes on and on for a while.\nSecond paragraph of it with more words."
+
+
+def test_blocks_take_linear_time():
+    began = time.process_time()
+    for page in ("<div class=a>" * 20_000 + "x", "<div>" * 20_000 + "x" + "</div>" * 20_000, "<svg>" * 20_000 + "x", "</nav>" * 50_000, "<nav><article>" * 10_000):
+        assert len(html_extract.blocks(page)) <= 1
+    assert time.process_time() - began < 5
+
+
 def test_tree_on_held_out_pages(tree):
     wrong = total = 0
     for page in html_extract.labelled_pages(150, seed=1234):
