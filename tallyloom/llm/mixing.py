@@ -23,7 +23,7 @@ from tallyloom.llm._store import Workspace
 
 MAX_REPEATS = 3
 BLOCK_WORDS = 1 << 14
-BUCKET_ROWS = 20_000  # rows that one task orders, about
+BUCKET_ROWS = 2_000  # rows that one task orders, about
 STRETCH = 1 << 16
 CELLS = 1 << 12
 GOLDEN = 0.6180339887498949
