@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-#: A term within its run of letters, numbers, private-use characters and _-./ : it begins with none of ./ and ends with none of -./
-TERM = r"((?:[\p{L}\p{N}\p{Co}_\-][\p{L}\p{N}\p{Co}_\-./]*)?[\p{L}\p{N}\p{Co}_])[-./]*+"
+#: A run of letters, numbers, private-use characters and _-./ is one term: without ./ at its beginning and -./ at its end.
+RUN = r"[\p{L}\p{N}\p{Co}_\-./]++"
 
 #: English words that a relaxed search leaves out.
 STOPWORDS = frozenset(
@@ -18,18 +18,19 @@ STOPWORDS = frozenset(
 
 def terms(text: Column) -> Column:
     """The index terms of a text, in order, in lower case."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(1)), lambda t: F.lower(t))
+    trimmed = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda t: F.lower(F.ltrim(F.rtrim(t, F.lit("-./")), F.lit("./"))))
+    return F.filter(trimmed, lambda t: t != "")
 
 
 def n_terms(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(TERM))
+    return F.size(terms(text))
 
 
 def plain_terms(query: str) -> list[str]:
     """The same at plan time."""
     import regex
 
-    return [t.lower() for t in regex.findall(TERM, query)]
+    return [t for t in (r.rstrip("-./").lstrip("./").lower() for r in regex.findall(RUN, query)) if t]
 
 
 def one_line(text: Column) -> Column:
@@ -110,8 +111,10 @@ def number_label(n: Column) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning."""
-    n = F.least(F.length(a), F.length(b))
-    return F.coalesce(F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))), F.lit(0))
+    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    same = F.zip_with(chars(a), chars(b), lambda x, y: x.eqNullSafe(y))
+    end = F.array_position(same, F.lit(False))
+    return F.coalesce(F.when(end > 0, end - 1).otherwise(F.size(same)), F.lit(0)).cast("int")
 
 
 def duration_seconds(spec: str) -> float:

@@ -214,9 +214,10 @@ class State:
         return events
 
 
-def may_matter(text: str = "text"):
-    """A result without this can't give a hash; a call is needed whatever it says."""
-    return (F.col("kind") == "tool_call") | F.col(text).rlike("[0-9a-fA-F]{7}") | F.col(text).contains('"exit_code":') | F.col("superseded") | (F.col("kind") == "tool_result")
+def text_that_matters(text: str = "text"):
+    """The text of a call, and of a result that can give a hash or an exit code; other results' texts are not needed."""
+    code = F.col(text).contains('"exit_code":') | F.col(text).rlike("(?m)^(?:[Ee]xit code|Process exited with code)[: ]+[0-9]")
+    return F.when((F.col("kind") == "tool_call") | F.col(text).rlike("[0-9a-fA-F]{7}") | code, F.col(text)).otherwise(F.lit("")).alias(text)
 
 
 def commit_evidence(messages: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def commit_evidence(messages: DataFrame) -> DataFrame:
     from tallyloom.sources.shipping import ship
 
     ship(messages.sparkSession)
-    rows = messages.where(F.col("kind").isin("tool_call", "tool_result") & may_matter()).select("conversation_id", "id", "ordinal", "kind", "tool_name", "tool_call_id", "is_error", "text", "superseded", "enrichment")
+    rows = messages.where(F.col("kind").isin("tool_call", "tool_result")).select("conversation_id", "id", "ordinal", "kind", "tool_name", "tool_call_id", "is_error", text_that_matters(), "superseded", "enrichment")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         state, out = State(), []

@@ -99,10 +99,20 @@ def age_label(seconds: Column) -> Column:
 
 
 def nearest_names(wanted: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
-    """wanted and the known names of like beginning at an edit distance of at most `most`."""
-    a = wanted.withColumn("__h", F.left("wanted", F.lit(1)))
-    b = known.withColumn("__h", F.left("name", F.lit(1)))
-    return a.join(b, "__h").withColumn("distance", F.levenshtein("wanted", "name")).where(F.col("distance") <= most).drop("__h")
+    """wanted and the known names at an edit distance of at most `most`. Two such names have in common what is left of each without
+    at most as many characters; they meet by that."""
+
+    def left_over(name: str):
+        found = F.array(F.col(name))
+        for _ in range(most):
+            fewer = F.flatten(F.transform(found, lambda s: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))))
+            found = F.array_distinct(F.concat(found, fewer))
+        return found
+
+    a = wanted.withColumn("__h", F.explode(left_over("wanted")))
+    b = known.withColumn("__h", F.explode(left_over("name")))
+    met = a.join(b, "__h").drop("__h").distinct()
+    return met.withColumn("distance", F.levenshtein("wanted", "name")).where(F.col("distance") <= most)
 
 
 def current_states(events: DataFrame) -> DataFrame:

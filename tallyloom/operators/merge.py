@@ -9,8 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 KEY = ["conversation_id", "native_id", "part"]
 
 
+def last_of_each(batch: DataFrame) -> DataFrame:
+    """One row per key: the one with the highest offset, where the batch has offsets, else with the longest text. Sources deliver at least
+    once, so a batch may hold a key several times."""
+    order = [F.col("offset")] if "offset" in batch.columns else []
+    last = F.max_by("text", F.struct(*order, F.length("text"), F.col("text")))
+    return batch.groupBy(*KEY).agg(last.alias("text"))
+
+
 def actions(head: DataFrame, batch: DataFrame) -> DataFrame:
-    """The key and action of each batch row: insert, touch (the same text), grow (the text goes on) or version (another text)."""
+    """The action for each key of the batch: insert, touch (the same text), grow (the text goes on) or version (another text)."""
+    batch = last_of_each(batch)
     old = head.where(~F.col("superseded")).select(*KEY, F.col("text").alias("old_text"), F.lit(True).alias("__old"))
     grown = F.col("text").startswith(F.col("old_text"))
     action = F.when(F.col("__old").isNull(), "insert").when(F.col("text") == F.col("old_text"), "touch").when(grown, "grow").otherwise("version")

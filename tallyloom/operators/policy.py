@@ -39,6 +39,9 @@ class Rule:
     admin: bool = False
 
 
+MOST_BROADCAST = 10_000  # rules
+
+
 def parse_rule(line: str, admin: bool = False) -> Rule:
     """MODE PATTERN, or MODE repo:PATTERN."""
     mode, _, pattern = line.strip().partition(" ")
@@ -63,6 +66,8 @@ def decide(sessions: DataFrame, rules: DataFrame, unplaceable: str = "local") ->
     rank = _rank()
     ranked = rules.select("is_repo", "regex", F.struct(rank.alias("rank"), F.col("is_admin").cast("int").alias("admin"), "mode", "pattern").alias("rule"))
     distinct = places.select("place", "is_repo").distinct()
+    if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        ranked = F.broadcast(ranked)  # every place meets all rules of its kind where it lies; a table of more rules is left to Spark
     met = distinct.join(ranked, "is_repo").where(F.rlike(F.lower("place"), F.col("regex"))).groupBy("place", "is_repo").agg(F.max("rule").alias("rule"))
     best = places.join(met, ["place", "is_repo"]).groupBy("id").agg(F.max("rule").alias("rule"))
     out = sessions.join(best, "id", "left")

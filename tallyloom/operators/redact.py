@@ -22,12 +22,18 @@ class Rule:
     name: str
     keywords: tuple[str, ...]
     pattern: str
-    group: int = 0
+    group: int = 0  # -1: the one that took part
     hashed: bool = True
     bounded: bool = True
     any_case: bool = False
 
 
+#: A key's block, whole or cut off before its end. It comes before all others, so that it keeps its name where they overlap.
+PRIVATE_KEY = Rule(
+    "private-key", ("PRIVATE KEY",),
+    r"-----BEGIN[ A-Z0-9_-]{0,64}PRIVATE KEY(?: BLOCK)?-----((?:\\+[nrt]|[\s0-9A-Za-z+/=:,\-.]){40,}?)-----END[ A-Z0-9_-]{0,64}PRIVATE KEY(?: BLOCK)?-----"
+    r"|-----BEGIN[ A-Z0-9_-]{0,64}PRIVATE KEY(?: BLOCK)?-----((?:\\+[nrt]|[\s0-9A-Za-z+/=]){64,})", -1, bounded=False,
+)
 #: Name, keywords and pattern of each vendor token.
 TOKENS = [
     Rule("aws-access-key", ("AKIA", "ASIA", "ABIA", "ACCA", "A3T"), r"(?:A3T[A-Z0-9]|AKIA|ASIA|ABIA|ACCA)[A-Z2-7]{16}"),
@@ -58,7 +64,6 @@ TOKENS = [
 ]
 #: The other rules with a pattern.
 OTHERS = [
-    Rule("private-key", ("PRIVATE KEY",), r"-----BEGIN[ A-Z0-9_-]{0,64}PRIVATE KEY(?: BLOCK)?-----((?:\\+[nrt]|[\s0-9A-Za-z+/=:,\-.]){40,}?)-----END[ A-Z0-9_-]{0,64}PRIVATE KEY(?: BLOCK)?-----", 1, bounded=False),
     Rule("azure-account-key", ("AccountKey=",), r"AccountKey=([0-9A-Za-z+/]{80,90}={0,2})", 1, bounded=False),
     Rule("url-password", ("://",), r"[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s:/@\"'\\<>]{0,64}:([^\s:/@\"'\\<>]{1,128})@([0-9A-Za-z\[][0-9A-Za-z.\-\[\]:]{0,253})", 1, False, False),
     Rule("auth-header", ("authorization", "bearer "), r"(?i)(?:authorization\\?[\"']?\s{0,3}[:=]\s{0,3}\\?[\"']?\s{0,3}(?:bearer|basic|token|bot|digest)|\bbearer)\s+([0-9A-Za-z._~+/=\-]{16,})", 1, False, False, True),
@@ -75,9 +80,9 @@ LOOPBACK = frozenset(["localhost", "127.0.0.1", "0.0.0.0", "[::1]", "::1", "host
 PLACEHOLDERS = ("changeme", "placeholder", "example", "your_", "your-", "xxxx", "dummy", "redacted", "<", "${", "{{", "...")
 
 ASSIGNMENT = "assignment"
-_ASSIGN = re.compile(rb"(?i)([0-9a-z_.-]{0,64}?)(" + b"|".join(re.escape(w.encode()) for w in sorted(ASSIGNED, key=len, reverse=True)) + rb")(?![0-9A-Za-z])\\{0,3}[\"'`]?[ \t]{0,3}(?:=(?![=~])>?|:=|:(?!:))[ \t]{0,3}(?:\\{0,3}([\"'`]))?")
+_ASSIGN = re.compile(rb"(?i)([0-9a-z_.-]{0,64}?)(" + b"|".join(re.escape(w.encode()) for w in sorted(ASSIGNED, key=len, reverse=True)) + rb")(?![0-9A-Za-z])\\{0,3}[\"'`]?[ \t]{0,3}(?:=(?![=~])>?|:=|:(?!:))[ \t]{0,3}(?:(\\{0,3})([\"'`]))?")
 _VALUE_END = re.compile(rb"[\s\"'`\\,;(){}\[\]<>&|\x00-\x1f]|\Z")
-RULES = TOKENS + OTHERS
+RULES = [PRIVATE_KEY, *TOKENS, *OTHERS]
 _COMPILED = [(r, re.compile(r.pattern.encode())) for r in RULES]
 _KEYWORDS = re.compile(b"|".join(re.escape(k.encode()) for r in RULES if not r.any_case for k in r.keywords) + b"|(?i:" + b"|".join(re.escape(k.encode()) for r in RULES if r.any_case for k in r.keywords) + b"|" + b"|".join(re.escape(w.encode()) for w in ASSIGNED) + b")")
 
@@ -116,24 +121,49 @@ def _accepts(rule: str, value: bytes, match: re.Match | None) -> bool:
     return not (value.endswith(b"EXAMPLE") or b"EXAMPLEKEY" in value or marked(value))
 
 
+#: What no secret looks like: an expansion, path, option or comment at its beginning; an address; code; a number; a text for display.
+_NO_SECRET = re.compile(rb"^[$%/~.#@*=:!?-]|://|=>|\(\)|[\x80-\xff]|^[0-9]+\Z")
+_DOTTED = re.compile(rb"[A-Za-z_][0-9A-Za-z_]*(?:\.[A-Za-z_][0-9A-Za-z_]*)+")
+_NAME_LIKE = re.compile(rb"[A-Za-z_.-]+")
+VALUE_BYTES = (8, 256)  # shortest, and where longer ones end
+
+
+def credible(value: bytes) -> bool:
+    """Whether an assigned value can be a secret: it is random enough, more so if it could be a name."""
+    if len(value) < VALUE_BYTES[0] or _NO_SECRET.search(value) or marked(value) or placeholder(value) or value.endswith(b"EXAMPLE") or b"EXAMPLEKEY" in value:
+        return False
+    if _DOTTED.fullmatch(value.translate(None, b"?!")):  # an expression: a.b, a?.b, a!.b
+        return False
+    if _NAME_LIKE.fullmatch(value):
+        return len(value) >= 32 and entropy(value) >= 4
+    return entropy(value) >= 3
+
+
+def quoted_end(line: bytes, start: int, quote: bytes, escapes: int) -> int:
+    """Where a quoted value ends. In a string that is itself quoted, the quotes are escaped: one within d strings has 2^d - 1
+    backslashes, and one that the value itself escapes has more."""
+    unit = escapes + 1
+    room = line[start : start + VALUE_BYTES[1]]
+    space = re.search(rb"[\x00-\x20]", room)
+    room = room[: space.start()] if space else room
+    for m in re.finditer(rb"(\\*)" + re.escape(quote), room):
+        times, over = divmod(len(m[1]) + 1, unit)
+        if over or times % 2:
+            return start + m.start()
+    return start + len(room)
+
+
 def _assignments(line: bytes):
     for m in _ASSIGN.finditer(line):
         if b"public" in m[1].lower() or line[: m.start()].endswith(MARK + b":"):
             continue
         start = m.end()
-        if m[3]:
-            end = start
-            while end < len(line) and line[end : end + 1] != m[3] and line[end] > 0x20:
-                end += 2 if line[end : end + 1] == b"\\" else 1
-            end = min(end, len(line))
+        if m[4]:
+            end = quoted_end(line, start, m[4], len(m[3]))
         else:
-            end = _VALUE_END.search(line, start).start()
-        value = line[start:end]
-        if len(value) < 8 or len(value) >= 256 or line[end : end + 1] == b"(" or value[:1] in b"$%/~.#@*-=:!?" or marked(value) or placeholder(value):
-            continue
-        if value.isalpha() or entropy(value) < 2.5 or not re.search(rb"[0-9]", value):
-            continue
-        yield start, end
+            end = min(_VALUE_END.search(line, start).start(), start + VALUE_BYTES[1])
+        if line[end : end + 1] != b"(" and credible(line[start:end]):
+            yield start, end
 
 
 def find(line: bytes) -> list[tuple[int, int, str, bool]]:
@@ -146,7 +176,7 @@ def find(line: bytes) -> list[tuple[int, int, str, bool]]:
         if not any(k.encode() in text for k in rule.keywords):
             continue
         for m in pattern.finditer(line):
-            a, b = m.span(rule.group)
+            a, b = m.span(m.lastindex if rule.group < 0 else rule.group)
             if rule.bounded and ((a and chr(line[a - 1]).isalnum() and line[a - 2 : a] not in (b"\\n", b"\\r", b"\\t")) or (b < len(line) and chr(line[b]).isalnum() and line[b] < 128)):
                 continue
             if _accepts(rule.name, line[a:b], m):

@@ -77,7 +77,10 @@ def with_terms(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__terms", terms(F.col("text")))
 
 
-def matching(rows: DataFrame, match: Match) -> DataFrame:
+def matching(rows, match: Match) -> DataFrame:
+    """The rows that match: of a table (id, text), read whole, or of a SearchIndex."""
+    if not isinstance(rows, DataFrame):
+        return rows.matching(match)
     cheap = [F.lower("text").contains(p.lower()) for p in match.phrases]
     holds = [F.lower("text").contains(t) for t, _ in match.terms()]
     cheap += [reduce(lambda a, b: a | b, holds)] if match.any and holds else holds
@@ -115,19 +118,21 @@ def _holds(text: Column, term: str, prefix: bool) -> Column:
     return F.when(F.lower(text).contains(term), F.exists(own, _starts(term)) if prefix else F.array_contains(own, term)).otherwise(F.lit(False))
 
 
-def probe(rows: DataFrame, match: Match, cap: int = PROBE_CAP) -> int:
+def probe(rows, match: Match, cap: int = PROBE_CAP) -> int:
     return matching(rows, match).limit(cap).count()
 
 
-def term_counts(rows: DataFrame, words: list[str]) -> dict[str, int]:
+def term_counts(rows, words: list[str]) -> dict[str, int]:
     """How many rows hold each word: one pass for all of them."""
+    if not isinstance(rows, DataFrame):
+        return rows.term_counts(words)
     text = F.col("text")
     holds = [[_holds(text, t, p) for t, p in Match((w,)).terms()] for w in words]
     got = rows.agg(*[F.sum(reduce(lambda a, b: a & b, h).cast("int") if h else F.lit(0)).alias(f"n{i}") for i, h in enumerate(holds)]).first()
     return {w: got[i] or 0 for i, w in enumerate(words)}
 
 
-def relaxed(rows: DataFrame, query: str, cap: int = PROBE_CAP) -> Match:
+def relaxed(rows, query: str, cap: int = PROBE_CAP) -> Match:
     """The strictest of these that has a hit: all words; without stopwords; then, beside the rarest word, without the
     words that occur nowhere, then without the most common ones. Phrases and the rarest word always stay."""
     strict = parse(query)

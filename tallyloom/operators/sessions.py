@@ -101,10 +101,13 @@ def resolve(sessions: DataFrame, wanted: str) -> list[str]:
 
 
 def parents(sessions: DataFrame) -> DataFrame:
-    """id and parent_id by native session id on the same device and agent, else on any; unresolved parents stay null."""
-    up = sessions.select(F.col("session_id").alias("parent_session_id"), F.col("id").alias("pid"))
-    best = up.groupBy("parent_session_id").agg(F.min("pid").alias("parent_id"))
-    return sessions.select("id", "parent_session_id").join(best, "parent_session_id", "left").select("id", "parent_session_id", "parent_id")
+    """id and parent_id by native session id: the least id on the same device and of the same agent, else on any; unresolved parents stay null."""
+    place = ["device_id", "agent"]
+    near = sessions.groupBy(F.col("session_id").alias("s"), *place).agg(F.min("id").alias("near_id"))
+    far = sessions.groupBy(F.col("session_id").alias("parent_session_id")).agg(F.min("id").alias("far_id"))
+    same = (F.col("c.parent_session_id") == F.col("n.s")) & F.col("c.device_id").eqNullSafe(F.col("n.device_id")) & F.col("c.agent").eqNullSafe(F.col("n.agent"))
+    own = sessions.select("id", "parent_session_id", *place).alias("c").join(near.alias("n"), same, "left").select("c.id", "c.parent_session_id", "n.near_id")
+    return own.join(far, "parent_session_id", "left").select("id", "parent_session_id", F.coalesce("near_id", "far_id").alias("parent_id"))
 
 
 def spawn_links(sessions: DataFrame, messages: DataFrame) -> DataFrame:

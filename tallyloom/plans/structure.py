@@ -56,7 +56,7 @@ def ancestors_walk(spark, sf_dir):
     return gr.ancestors(s.select(F.col("session_id").alias("child"), F.col("parent_session_id").alias("parent")), s.where("session_id = 's-beta-9'").select(F.col("session_id").alias("id")))
 
 
-@query("parent_link_resolve", f"WITH {cte('sessions')} SELECT s.id, s.parent_session_id, (SELECT min(p.id) FROM sessions p WHERE p.session_id = s.parent_session_id) AS parent_id FROM sessions s")
+@query("parent_link_resolve", f"WITH {cte('sessions')} SELECT s.id, s.parent_session_id, coalesce((SELECT min(p.id) FROM sessions p WHERE p.session_id = s.parent_session_id AND p.device_id IS NOT DISTINCT FROM s.device_id AND p.agent IS NOT DISTINCT FROM s.agent), (SELECT min(p.id) FROM sessions p WHERE p.session_id = s.parent_session_id)) AS parent_id FROM sessions s")
 def parent_link_resolve(spark, sf_dir):
     return se.parents(frame(spark, "sessions"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -162,7 +162,7 @@ def previews(spark, sf_dir):
 @query("stream_activity", "SELECT user_id, count(*) AS n, min(ts) AS started_at, max(ts) AS last_activity_at FROM events GROUP BY user_id")
 def stream_activity(spark, sf_dir):
     """The events as a stream of micro-batches into snapshots, then the totals: the same as of the whole table."""
-    folder = f"{shared_folder(spark)}/stream-{next(tempfile._get_candidate_names())}"
+    folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     whole = v.table(spark, sf_dir, "events")
     whole.repartition(3).write.parquet(f"{folder}/in")
     stream = inc.stream_of(spark, f"{folder}/in", whole.schema)
@@ -178,7 +178,7 @@ def daily_counts(spark, sf_dir):
 @query("snapshot_swap", "SELECT r_regionkey, r_name FROM region")
 def snapshot_swap(spark, sf_dir):
     """Two versions of a table; the reader pins the first."""
-    snapshots = Snapshots(spark, f"{shared_folder(spark)}/swap-{next(tempfile._get_candidate_names())}")
+    snapshots = Snapshots(spark, f"{shared_folder(spark)}/swap-{uuid4().hex}")
     first = snapshots.commit(v.table(spark, sf_dir, "region"))
     snapshots.commit(v.table(spark, sf_dir, "region").where("r_regionkey < 2"))
     return snapshots.read(first)

@@ -31,9 +31,10 @@ def into_snapshots(events: DataFrame, snapshots: Snapshots, checkpoint: str, mer
 
 
 def merge_activity(head: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """Last row of each event id, kept as the table of events by id: a row that comes again changes nothing."""
+    """Last row of each event id (of equal times, the one whose columns sort last), kept as the table of events by id: a row that comes again changes nothing."""
+    others = [c for c in batch.columns if c != "event_id"]
     rows = batch if head is None else head.unionByName(batch)
-    return rows.groupBy("event_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "event_id"]), F.col("ts")).alias("e")).select("event_id", *[f"e.{c}" for c in batch.columns if c != "event_id"])
+    return rows.groupBy("event_id").agg(F.max_by(F.struct(*others), F.struct("ts", F.to_json(F.struct(*others)))).alias("e")).select("event_id", *[f"e.{c}" for c in others])
 
 
 def merge_messages(generation: int) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
