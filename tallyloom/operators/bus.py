@@ -63,7 +63,7 @@ def inbox(bus: DataFrame, accepts: DataFrame, user: str, now: str, before: tuple
     if before:
         ts, id_ = before
         out = out.where((F.col("created_at") < at(ts)) | ((F.col("created_at") == at(ts)) & (F.col("id") < id_)))
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+    return out.orderBy(F.col("created_at").desc(), F.col("id").desc(), "direction").limit(limit)
 
 
 def threads(bus: DataFrame, accepts: DataFrame) -> DataFrame:

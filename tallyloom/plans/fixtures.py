@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyloom.plans.derived import RULES, Dialect
+
 #: name: (Spark schema, rows). Values are strings, numbers, booleans, None or lists of strings; timestamps are strings of type TIMESTAMP.
 TABLES: dict[str, tuple[str, list[tuple]]] = {}
 
@@ -34,21 +36,27 @@ def _literal(value, kind: str, spark: bool) -> str:
     return f"CAST({value} AS {sql_kind})"
 
 
-def frame(spark: SparkSession, name: str) -> DataFrame:
+def frame(spark: SparkSession, name: str, sf_dir: str | None = None) -> DataFrame:
+    """The hand-made rows and, given the folder of the driver's tables, those that are derived from them."""
     schema, rows = TABLES[name]
     columns = _columns(schema)
     select = [", ".join(f"{_literal(v, kind, True)} AS {c}" for v, (c, kind) in zip(row, columns, strict=True)) for row in rows]
-    return spark.sql(" UNION ALL ".join(f"SELECT {s}" for s in select))
+    hand = spark.sql(" UNION ALL ".join(f"SELECT {s}" for s in select))
+    if sf_dir is None or name not in RULES:
+        return hand
+    return hand.unionByName(spark.sql(RULES[name](Dialect(sf_dir))))
 
 
-def cte(*names: str) -> str:
+def cte(*names: str, derived: bool = True) -> str:
     """``name AS (...)`` for each, to put after WITH."""
     out = []
     for name in names:
         schema, rows = TABLES[name]
         columns = _columns(schema)
-        select = [", ".join(f"{_literal(v, kind, False)} AS {c}" for v, (c, kind) in zip(row, columns, strict=True)) for row in rows]
-        out.append(f"{name} AS ({' UNION ALL '.join(f'SELECT {s}' for s in select)})")
+        select = ["SELECT " + ", ".join(f"{_literal(v, kind, False)} AS {c}" for v, (c, kind) in zip(row, columns, strict=True)) for row in rows]
+        if derived and name in RULES:
+            select.append(f"SELECT {', '.join(c for c, _ in columns)} FROM ({RULES[name](Dialect())}) AS derived")
+        out.append(f"{name} AS ({' UNION ALL '.join(select)})")
     return ", ".join(out)
 
 

@@ -7,39 +7,40 @@ from pyspark.sql import functions as F
 from tallyloom.operators import evidence as ev, lifecycle as lc
 from tallyloom.plans.fixtures import cte, frame
 from tallyloom.plans.registry import query
+from tallyloom.plans.summaries import EVIDENCE
 from tallyloom.sources import views as v
 
 
 @query("tree_messages", f"WITH RECURSIVE {cte('sessions', 'messages')}, t(id) AS (SELECT 's-beta-2' UNION SELECT s.session_id FROM sessions s JOIN t ON s.parent_session_id = t.id) SELECT id FROM messages WHERE session_id IN (SELECT id FROM t)")
 def tree_messages(spark, sf_dir):
-    return lc.within_tree(frame(spark, "messages"), frame(spark, "sessions"), "s-beta-2").select("id")
+    return lc.within_tree(frame(spark, "messages", sf_dir), frame(spark, "sessions", sf_dir), "s-beta-2").select("id")
 
 
 @query("deletion_closure", f"WITH RECURSIVE {cte('sessions')}, t(session_id, depth) AS (SELECT 's-alpha-1', 0 UNION SELECT s.session_id, t.depth + 1 FROM sessions s JOIN t ON s.parent_session_id = t.session_id WHERE s.user_id = 'u1' AND t.depth < 10) SELECT session_id, depth::INTEGER AS depth FROM t")
 def deletion_closure(spark, sf_dir):
-    return lc.deletion_closure(frame(spark, "sessions"), "u1", "s-alpha-1")
+    return lc.deletion_closure(frame(spark, "sessions", sf_dir), "u1", "s-alpha-1")
 
 
 @query("backup_chunks", f"WITH {cte('chunks', 'manifest')} SELECT hash FROM chunks c WHERE EXISTS (SELECT 1 FROM manifest m WHERE m.hash = c.hash AND m.source <> 'f2')")
 def backup_chunks(spark, sf_dir):
     gone = spark.createDataFrame([("f2",)], "source string")
-    return lc.backup_chunks(frame(spark, "chunks"), frame(spark, "manifest"), gone).select("hash")
+    return lc.backup_chunks(frame(spark, "chunks", sf_dir), frame(spark, "manifest", sf_dir), gone).select("hash")
 
 
 @query("paired_calls", f"""WITH {cte('messages')}, m AS (SELECT * FROM messages WHERE NOT superseded AND coalesce(on_active_path, TRUE) AND tool_call_id IS NOT NULL)
 SELECT c.conversation_id, c.id AS call, (SELECT arg_min(r.id, (r.ordinal, r.id)) FROM m r WHERE r.kind = 'tool_result' AND r.conversation_id = c.conversation_id AND r.tool_call_id = c.tool_call_id AND r.ordinal > c.ordinal) AS result FROM m c WHERE c.kind = 'tool_call'""")
 def paired_calls(spark, sf_dir):
-    return lc.paired_calls(frame(spark, "messages"))
+    return lc.paired_calls(frame(spark, "messages", sf_dir))
 
 
 @query("last_parts", f"WITH {cte('messages')} SELECT conversation_id, split_part(native_id, '#', 1) AS line, arg_max(id, (ordinal, part, id)) AS id FROM messages WHERE NOT superseded GROUP BY 1, 2")
 def last_parts(spark, sf_dir):
-    return lc.last_parts(frame(spark, "messages"))
+    return lc.last_parts(frame(spark, "messages", sf_dir))
 
 
-@query("call_summaries", f"WITH {cte('messages')} SELECT * FROM (VALUES ('m03', 'git commit -m fix'), ('m05', '/work/app/src/parse.py'), ('m14', '/work/docs/guide.md'), ('m15', '*** Begin Patch *** Update File: docs/a.md *** Add File: docs/b.md *** End Patch')) t(id, summary)")
+@query("call_summaries", rf"""WITH {cte('messages')} SELECT id, coalesce(nullif(regexp_extract(text, '"command":"([^"]*)"', 1), ''), nullif(regexp_extract(text, '"file_path":"([^"]*)"', 1), ''), trim(regexp_replace(text, '\s+', ' ', 'g'))) AS summary FROM messages WHERE kind = 'tool_call'""")
 def call_summaries(spark, sf_dir):
-    return frame(spark, "messages").where("kind = 'tool_call'").select("id", lc.call_summary().alias("summary"))
+    return frame(spark, "messages", sf_dir).where("kind = 'tool_call'").select("id", lc.call_summary().alias("summary"))
 
 
 @query("order_ages", """WITH l AS (SELECT max(o_orderdate) AS t FROM orders), a AS (SELECT o_orderkey, epoch(t - o_orderdate) AS s FROM orders, l)
@@ -52,7 +53,7 @@ def order_ages(spark, sf_dir):
 
 @query("bus_states", f"WITH {cte('bus')}, e AS (SELECT thread_id AS id, state, created_at AS t FROM bus) SELECT id, arg_max(state, (list_position(['queued', 'held', 'claimed', 'delivered', 'read', 'refused', 'expired', 'failed'], state), t)) AS state FROM e GROUP BY id")
 def bus_states(spark, sf_dir):
-    return lc.current_states(frame(spark, "bus").select(F.col("thread_id").alias("id"), "state", F.col("created_at").alias("at")))
+    return lc.current_states(frame(spark, "bus", sf_dir).select(F.col("thread_id").alias("id"), "state", F.col("created_at").alias("at")))
 
 
 @query("send_limits", """WITH s AS (SELECT event_id AS id, user_id AS sender, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM events) SELECT id, CASE WHEN n > 2 THEN 'refused' WHEN sender % 2 = 0 THEN 'queued' ELSE 'held' END AS state FROM s""".replace("epoch(ts)::BIGINT", "floor(epoch(ts))::BIGINT"))
@@ -63,15 +64,15 @@ def send_limits(spark, sf_dir):
     return lc.send_states(sends, accepts, 2)
 
 
-@query("trace_coverage", f"WITH {cte('sessions')} SELECT agent, bool_or(id = 'c1') AS has_evidence, bool_and(hidden_at IS NOT NULL) AS all_hidden FROM sessions GROUP BY agent")
+@query("trace_coverage", f"WITH {cte('messages', 'sessions')}, {EVIDENCE} SELECT agent, bool_or(id IN (SELECT conversation_id FROM evidence)) AS has_evidence, bool_and(hidden_at IS NOT NULL) AS all_hidden FROM sessions GROUP BY agent")
 def trace_coverage(spark, sf_dir):
-    return lc.trace_coverage(frame(spark, "sessions"), ev.commit_evidence(frame(spark, "messages")))
+    return lc.trace_coverage(frame(spark, "sessions", sf_dir), ev.commit_evidence(frame(spark, "messages", sf_dir)))
 
 
 @query("manifest_append", f"WITH {cte('manifest')} SELECT source, generation, ordinal, hash FROM manifest UNION ALL SELECT 'f1', 1, 2, 'h9'")
 def manifest_append(spark, sf_dir):
     batch = spark.createDataFrame([("f1", 1, 1, "h2"), ("f1", 1, 2, "h9"), ("f1", 1, 2, "h9")], "source string, generation long, ordinal int, hash string")
-    return lc.appended(frame(spark, "manifest"), batch)
+    return lc.appended(frame(spark, "manifest", sf_dir), batch)
 
 
 @query("customers_without_orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")

@@ -60,58 +60,58 @@ def filter_time_range(spark, sf_dir):
 
 @query("filter_tools_ci", f"WITH {cte('messages')} SELECT id FROM messages WHERE NOT superseded AND coalesce(on_active_path, TRUE) AND kind <> 'injected' AND lower(tool_name) IN ('bash', 'write')")
 def filter_tools_ci(spark, sf_dir):
-    return frame(spark, "messages").where(fl.Filters(tools=("BASH", "write")).message_predicate()).select("id")
+    return frame(spark, "messages", sf_dir).where(fl.Filters(tools=("BASH", "write")).message_predicate()).select("id")
 
 
 @query("filter_glob_ilike", f"""WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND (session_id ILIKE '%beta%' OR coalesce(title ILIKE '%beta%', FALSE) OR coalesce(coalesce(repo_root, cwd) ILIKE '%beta%', FALSE)
   OR coalesce(split_part(coalesce(repo_root, cwd), '/', -1) ILIKE '%beta%', FALSE))""")
 def filter_glob_ilike(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(sessions="BETA").session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(sessions="BETA").session_predicate()).select("id")
 
 
 @query("filter_glob_escapes", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND title LIKE '100\\%\\_%' ESCAPE '\\'")
 def filter_glob_escapes(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(sessions="100%_*").session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(sessions="100%_*").session_predicate()).select("id")
 
 
 @query("filter_branch", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND len(list_filter(branches, lambda b: b ILIKE 'main')) > 0")
 def filter_branch(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(branch="main").session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(branch="main").session_predicate()).select("id")
 
 
 @query("filter_repo", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND (repo_root = '/work/app' OR repo_root LIKE '/work/app/%' OR cwd = '/work/app' OR cwd LIKE '/work/app/%')")
 def filter_repo(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(repo="/work/app").session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(repo="/work/app").session_predicate()).select("id")
 
 
 @query("filter_repo_name", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND ('/' || repo_root ILIKE '%/app' OR '/' || cwd ILIKE '%/app')")
 def filter_repo_name(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(repo="app").session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(repo="app").session_predicate()).select("id")
 
 
 @query("filter_live", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND NOT coalesce(last_activity_at > TIMESTAMP '2026-01-06 01:05:00' - INTERVAL 10 MINUTE, FALSE)")
 def filter_live(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(exclude_live=True, now="2026-01-06 01:05:00").session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(exclude_live=True, now="2026-01-06 01:05:00").session_predicate()).select("id")
 
 
 @query("filter_top_level", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE hidden_at IS NULL AND depth = 0 AND parent_session_id IS NULL AND agent IN ('claude', 'devin')")
 def filter_top_level(spark, sf_dir):
-    return frame(spark, "sessions").where(fl.Filters(exclude_subagents=True, agents=("claude", "devin")).session_predicate()).select("id")
+    return frame(spark, "sessions", sf_dir).where(fl.Filters(exclude_subagents=True, agents=("claude", "devin")).session_predicate()).select("id")
 
 
 @query("filter_device_user", f"WITH {cte('sessions', 'devices', 'users')} SELECT s.id FROM sessions s JOIN devices d ON d.id = s.device_id AND (d.id = 'laptop' OR d.name = 'laptop') JOIN users u ON u.id = s.user_id AND (u.id = 'ann@example.org' OR lower(u.email) = 'ann@example.org')")
 def filter_device_user(spark, sf_dir):
-    return fl.by_device_or_user(frame(spark, "sessions"), frame(spark, "devices"), frame(spark, "users"), "laptop", "ANN@example.org").select("id")
+    return fl.by_device_or_user(frame(spark, "sessions", sf_dir), frame(spark, "devices", sf_dir), frame(spark, "users", sf_dir), "laptop", "ANN@example.org").select("id")
 
 
 @query("filter_tombstones", f"WITH {cte('sessions', 'tombstones')} SELECT id FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM tombstones t WHERE t.user_id = s.user_id AND t.session_id = s.session_id)")
 def filter_tombstones(spark, sf_dir):
-    return fl.without_tombstones(frame(spark, "sessions"), frame(spark, "tombstones")).select("id")
+    return fl.without_tombstones(frame(spark, "sessions", sf_dir), frame(spark, "tombstones", sf_dir)).select("id")
 
 
 @query("default_view_tristate", f"WITH {cte('messages', 'sessions')} SELECT m.id FROM messages m JOIN sessions s ON s.id = m.conversation_id WHERE NOT m.superseded AND coalesce(m.on_active_path, TRUE) AND m.kind <> 'injected' AND s.hidden_at IS NULL")
 def default_view_tristate(spark, sf_dir):
-    return fl.scoped(frame(spark, "messages"), frame(spark, "sessions"), fl.Filters()).select("id")
+    return fl.scoped(frame(spark, "messages", sf_dir), frame(spark, "sessions", sf_dir), fl.Filters()).select("id")
 
 
 LICENSE = g.Pattern(("License",), fixed=True, ignore_case=False)
@@ -157,25 +157,25 @@ def grep_max_per_session(spark, sf_dir):
 
 @query("grep_oldest_nulls_last", f"WITH {cte('messages')} SELECT id, ts FROM messages WHERE text ILIKE '%parser%' ORDER BY ts ASC NULLS LAST, id LIMIT 12")
 def grep_oldest_nulls_last(spark, sf_dir):
-    rows = frame(spark, "messages").withColumn("content_sha", F.col("id"))
+    rows = frame(spark, "messages", sf_dir).withColumn("content_sha", F.col("id"))
     return g.page(rows, g.Pattern(("parser",), fixed=True, ignore_case=True), order="oldest", limit=12).select("id", "ts")
 
 
 @query("grep_continuation", f"WITH {cte('messages')} SELECT id FROM messages WHERE text ILIKE '%parser%' AND (ts < TIMESTAMP '2026-01-02 08:02:00' OR (ts = TIMESTAMP '2026-01-02 08:02:00' AND id > 'm16') OR ts IS NULL) ORDER BY ts DESC NULLS LAST, id LIMIT 5")
 def grep_continuation(spark, sf_dir):
-    rows = frame(spark, "messages").withColumn("content_sha", F.col("id"))
+    rows = frame(spark, "messages", sf_dir).withColumn("content_sha", F.col("id"))
     return g.continued(rows, g.Pattern(("parser",), fixed=True, ignore_case=True), ("2026-01-02 08:02:00", "m16"), 5).select("id")
 
 
 @query("sessions_list", f"WITH {cte('sessions')} SELECT id, last_activity_at FROM sessions WHERE hidden_at IS NULL ORDER BY last_activity_at DESC NULLS LAST, id DESC LIMIT 5")
 def sessions_list(spark, sf_dir):
-    rows = frame(spark, "sessions").where("hidden_at is null")
+    rows = frame(spark, "sessions", sf_dir).where("hidden_at is null")
     return rows.orderBy(*se.listing(rows)).limit(5).select("id", "last_activity_at")
 
 
 @query("sessions_keyset_page", f"WITH {cte('sessions')} SELECT id FROM sessions WHERE last_activity_at < TIMESTAMP '2026-01-03 12:10:10' OR (last_activity_at = TIMESTAMP '2026-01-03 12:10:10' AND id < 'c3') OR last_activity_at IS NULL ORDER BY last_activity_at DESC NULLS LAST, id DESC LIMIT 4")
 def sessions_keyset_page(spark, sf_dir):
-    return se.page_after(frame(spark, "sessions"), ("2026-01-03 12:10:10", "c3"), 3).select("id")
+    return se.page_after(frame(spark, "sessions", sf_dir), ("2026-01-03 12:10:10", "c3"), 3).select("id")
 
 
 @query("user_activity_page", "SELECT user_id, max(ts) AS last_activity_at, count(*) AS n FROM events GROUP BY user_id ORDER BY last_activity_at DESC, user_id LIMIT 30")
@@ -286,7 +286,7 @@ def search_auto_relax(spark, sf_dir):
 
 @query("search_newest", f"WITH {cte('messages')} SELECT id, ts FROM messages WHERE NOT superseded AND list_contains({TERMS}, 'parser') ORDER BY ts DESC NULLS LAST, id LIMIT 6")
 def search_newest(spark, sf_dir):
-    return s.matching(frame(spark, "messages").where(fl.live()), s.parse("parser")).orderBy(*g.newest()).limit(6).select("id", "ts")
+    return s.matching(frame(spark, "messages", sf_dir).where(fl.live()), s.parse("parser")).orderBy(*g.newest()).limit(6).select("id", "ts")
 
 
 @query("search_probe_count", f"WITH {CORPUS} SELECT count(*) AS n FROM (SELECT id FROM corpus WHERE list_contains({TERMS}, 'the') LIMIT 100) t")
@@ -315,7 +315,7 @@ def phrases(documents, benchmark):
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).where("text is not null")
     # Only hashes of texts meet the items; the texts themselves are fetched for the pairs that are left.
     long = items.where(F.size("w") >= 5).select("item_id", "item", "n", F.array_join(F.slice("w", 2, 3), " ").alias("head"))
-    heads = docs.select("h", words.alias("w")).where(F.size("w") >= 5).select("h", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"))
+    heads = docs.select("h", words.alias("w")).where(F.size("w") >= 5).select("h", F.explode(F.transform(F.slice("w", F.lit(1), F.size("w") - 2), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1), F.get("w", i + 2)))).alias("head"))
     met = heads.join(long, "head").select("h", "item_id", "item", "n")
     short = items.where(F.size("w") < 5).select("item_id", "item", "n", F.substring("item", 1, 3).alias("head"))
     lengths = sorted(r.n for r in short.select(F.length("head").alias("n")).distinct().collect())
