@@ -109,6 +109,16 @@ def number_label(n: Column) -> Column:
     return F.when(n < 1000, n.cast("string")).when(n < 1_000_000, F.concat(F.round(n / 1000, 1).cast("string"), F.lit("k"))).otherwise(F.concat(F.round(n / 1_000_000, 1).cast("string"), F.lit("M")))
 
 
+def plural(n: Column, one: str, many: str | None = None) -> Column:
+    """"1 file", "2 files"."""
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, F.lit(one)).otherwise(F.lit(many or one + "s")))
+
+
+def place_label(repo: Column, branches: Column) -> Column:
+    """repo@branch; several branches in their order, as a→b."""
+    return F.concat(last_element(repo), F.when(F.size(branches) > 0, F.concat(F.lit("@"), F.array_join(branches, "→"))).otherwise(F.lit("")))
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the common beginning."""
     chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")

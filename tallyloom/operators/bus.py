@@ -21,9 +21,15 @@ def present(presence: DataFrame, now: str) -> DataFrame:
     return seen.groupBy("session_id", "agent", "user_id").agg(latest.alias("p")).select("session_id", "agent", "user_id", "p.*")
 
 
-def peers(presence: DataFrame, now: str, caller: str, session: str | None = None) -> DataFrame:
-    """Live sessions with own, in the order own first, person, busy first, session."""
+def peers(presence: DataFrame, now: str, caller: str, session: str | None = None, hidden: DataFrame | None = None, revoked: DataFrame | None = None, agent: str | None = None) -> DataFrame:
+    """Live sessions with own, in the order own first, person, busy first, session; without hidden sessions (session_id) and revoked people (user_id)."""
     rows = present(presence, now)
+    if hidden is not None:
+        rows = rows.join(hidden.select("session_id").distinct(), "session_id", "left_anti")
+    if revoked is not None:
+        rows = rows.join(revoked.select("user_id").distinct(), "user_id", "left_anti")
+    if agent:
+        rows = rows.where(F.col("agent") == agent)
     if session:
         rows = rows.where(F.col("session_id") != session)
     rows = rows.withColumn("own", F.col("user_id") == caller)
@@ -47,6 +53,46 @@ def eligible(presence: DataFrame, now: str, route: str) -> DataFrame:
     return rows.withColumn("__best", best).where((F.col("tier") == F.col("__best")) & (F.col("tier") > 0)).drop("__best")
 
 
+def resolved_routes(presence: DataFrame, now: str, name: str) -> DataFrame:
+    """user_id, route and ambiguous: where a repository's name leads among each person's live sessions. One remote is the route; two
+    repositories of the name (two remotes, or one and a checkout without) are ambiguous and no route; else the name itself."""
+    on = present(presence, now).where(tier(name, F.col("repo"), F.col("remote")) > 0)
+    sets = on.groupBy("user_id").agg(F.array_sort(F.collect_set("remote")).alias("remotes"), F.array_sort(F.collect_set(F.when(F.col("remote").isNull(), F.col("repo")))).alias("bare"))
+    n, m = F.size("remotes"), F.size("bare")
+    many = (n > 0) & (n + m > 1)
+    named = F.concat("remotes", F.transform("bare", lambda b: F.concat(b, F.lit(" (no remote)"))))
+    return sets.select("user_id", F.when((n == 1) & (m == 0), F.col("remotes")[0]).when(~many, F.lit(name)).alias("route"), F.when(many, F.array_join(named, "; ")).alias("ambiguous"))
+
+
+def coalesced_refusals(sends: DataFrame, hours: int = 1) -> DataFrame:
+    """sender, since, n: one row for a sender's refused messages (id, sender, state, created_at) of each stretch of hours."""
+    refused = sends.where("state = 'refused'")
+    return refused.groupBy("sender", F.window("created_at", f"{hours} hours").start.alias("since")).agg(F.count("*").alias("n"))
+
+
+def swept_presence(presence: DataFrame, now: str, hours: int = TTL_HOURS) -> DataFrame:
+    """The reports that are not older than `hours`."""
+    return presence.where(F.col("seen_at") > at(now) - F.make_dt_interval(hours=F.lit(hours)))
+
+
+#: From which states an event moves a message: claimed by a device, acknowledged there, read, given up.
+MOVES = {"claim": ("queued", "claimed"), "ack": ("claimed", "delivered"), "read": ("delivered", "read"), "release": ("claimed", "queued")}
+
+
+def moved(messages: DataFrame, events: DataFrame) -> DataFrame:
+    """The messages after events (id, event, at) in their order; an event that does not fit the state it meets changes nothing."""
+    ordered = events.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "event"))), lambda x: x["event"]).alias("events"))
+
+    def step(state, event):
+        out = state
+        for name, (before, after) in MOVES.items():
+            out = F.when((event == name) & (state == before), after).otherwise(out)
+        return out
+
+    rows = messages.join(ordered, "id", "left")
+    return rows.withColumn("state", F.aggregate(F.coalesce("events", F.array().cast("array<string>")), F.col("state"), step)).select(*messages.columns)
+
+
 def effective_state(now: str) -> Column:
     waiting = F.col("state").isin("queued", "held") & (F.col("created_at") <= at(now) - F.make_dt_interval(hours=F.lit(TTL_HOURS)))
     return F.when(waiting, "expired").otherwise(F.col("state"))

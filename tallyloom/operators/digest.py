@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tallyloom.functions.text import clip_bytes, one_line
 from tallyloom.operators.filters import live, on_path
 
-INTENT_BYTES, LAST_BYTES, MAX_FILES, MAX_REFS, MAX_COMMITS = 120, 160, 25, 10, 20
+INTENT_BYTES, LAST_BYTES, MAX_FILES, MAX_REFS, MAX_COMMITS, MAX_REPOS = 120, 160, 25, 10, 20, 4
 
 #: Beginnings of a prompt that don't say what a session is for.
 WEAK_PREFIXES = (
@@ -130,11 +130,46 @@ def subagents(sessions: DataFrame) -> DataFrame:
     return sessions.select("id", "session_id").join(children, "session_id", "left").select("id", F.coalesce("n", F.lit(0)).alias("subagents"))
 
 
+def repos(sessions: DataFrame) -> DataFrame:
+    """conversation_id, repos (the checkout and the remote, else the directory; at most MAX_REPOS) and branches (as they followed each other)."""
+    known = F.array_distinct(F.filter(F.array("repo_root", "remote"), lambda r: r.isNotNull() & (r != "")))
+    own = F.when(F.size(known) > 0, known).when(F.coalesce("cwd", F.lit("")) != "", F.array("cwd")).otherwise(F.array().cast("array<string>"))
+    return sessions.select(F.col("id").alias("conversation_id"), F.slice(own, 1, MAX_REPOS).alias("repos"), changes(F.coalesce("branches", F.array().cast("array<string>"))).alias("branches"))
+
+
+def changes(values: Column) -> Column:
+    """An array without values that repeat the one before: a, a, b, a gives a, b, a."""
+    return F.filter(values, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(values, i - 1)))
+
+
+def directories(messages: DataFrame, column: str = "cwd") -> DataFrame:
+    """conversation_id and the distinct values of a column in the order of their first occurrence."""
+    first = messages.where(F.col(column).isNotNull()).groupBy("conversation_id", column).agg(F.min(F.struct("ordinal", "id")).alias("at"))
+    return first.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", column))), lambda x: x[column]).alias("directories"))
+
+
+def commits(messages: DataFrame) -> DataFrame:
+    """conversation_id, commits (hashes that results print, and those that a later command reveals, in order; the first MAX_COMMITS) and more_commits."""
+    from tallyloom.operators.evidence import commit_evidence
+
+    seen = commit_evidence(messages)
+    at = messages.select(F.col("id").alias("result_id"), "ordinal")
+    first = seen.join(at, "result_id").groupBy("conversation_id", "hash").agg(F.min(F.struct("ordinal", "result_id")).alias("at"))
+    listed = first.groupBy("conversation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]).alias("all"))
+    return listed.select("conversation_id", F.slice("all", 1, MAX_COMMITS).alias("commits"), (F.size("all") > MAX_COMMITS).alias("more_commits"))
+
+
 def digests(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row for each session with all of the above; recomputed for the sessions that a batch touches."""
+    """One row for each session with all of the above; recomputed for the sessions that a batch touches, and from masked rows after a redaction."""
     by_kind = counts(messages)
-    maps = by_kind.groupBy("conversation_id").agg(F.sum("n").alias("messages"), F.sum(F.when(F.col("kind") == "tool_call", F.col("n")).otherwise(0)).alias("calls"), F.sum(F.when((F.col("kind") == "tool_call") & F.lower("tool_name").isin(*SHELL_TOOLS), F.col("n")).otherwise(0)).alias("commands"))
+    call = F.col("kind") == "tool_call"
+    totals = by_kind.groupBy("conversation_id").agg(
+        F.sum("n").alias("messages"), F.sum(F.when(call, F.col("n")).otherwise(0)).alias("calls"), F.sum(F.when(call & F.lower("tool_name").isin(*SHELL_TOOLS), F.col("n")).otherwise(0)).alias("commands"),
+    )
+    tools = by_kind.where(call & F.col("tool_name").isNotNull()).groupBy("conversation_id", "tool_name").agg(F.sum("n").alias("n")).groupBy("conversation_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tool_name", "n")))).alias("tools"))
+    links = references(messages).groupBy("conversation_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("ref")))).alias(f"{k}s") for k in ("pull", "issue")])
+    below = subagents(sessions).select(F.col("id").alias("conversation_id"), "subagents")
     out = sessions.select(F.col("id").alias("conversation_id"), "session_id", "cwd")
-    for part in (maps, failed(messages), tokens(messages), intents(messages, sessions), edited_files(messages, sessions), durations(messages)):
+    for part in (totals, tools, failed(messages), tokens(messages), intents(messages, sessions), edited_files(messages, sessions), durations(messages), repos(sessions), links, commits(messages), below):
         out = out.join(part, "conversation_id", "left")
     return out

@@ -246,6 +246,12 @@ def trace(evidence: DataFrame, hashes: list[str]) -> DataFrame:
     return trace_all(evidence, rows)
 
 
+def trace_in(evidence: DataFrame, sessions: DataFrame, hashes: list[str], remote: str, limit: int = 20) -> DataFrame:
+    """The same within the visible sessions of one repository, at most `limit` (100) by conversation and result."""
+    own = sessions.where((F.col("remote") == remote) & F.col("hidden_at").isNull()).select(F.col("id").alias("conversation_id"))
+    return trace(evidence, hashes).join(own, "conversation_id", "left_semi").orderBy("conversation_id", "result_id").limit(min(limit, 100))
+
+
 def trace_all(evidence: DataFrame, wanted: DataFrame) -> DataFrame:
     prefixes = wanted.select("wanted", F.explode(F.expr("transform(sequence(7, length(wanted)), n -> left(wanted, n))")).alias("hash"))
     return prefixes.join(evidence, "hash")

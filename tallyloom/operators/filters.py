@@ -45,6 +45,8 @@ class Filters:
     exclude_subagents: bool = False
     exclude_live: bool = False
     now: str | None = None
+    own_session: str | None = None
+    own_user: str | None = None
     include_superseded: bool = False
     include_off_path: bool = False
     limit: int = DEFAULT_LIMIT
@@ -98,12 +100,26 @@ class Filters:
         if self.sessions:
             base = F.element_at(F.split(F.coalesce("repo_root", "cwd"), "/"), -1)
             out = out & ilike_any([F.col("session_id"), F.col("title"), F.coalesce("repo_root", "cwd"), base], glob_like(self.sessions))
+        if self.own_session:
+            out = out & (F.col("session_id") == self.own_session)
+        if self.own_user:
+            out = out & (F.col("user_id") == self.own_user)
         if self.exclude_live:
             now = F.lit(self.now).cast("timestamp")
             out = out & ~F.coalesce(F.col("last_activity_at") > now - F.make_dt_interval(secs=F.lit(LIVE_SECONDS)), F.lit(False))
         return out
 
 
+def without_live(sessions: DataFrame, now: str, held: list[str]) -> DataFrame:
+    """Sessions that are not live: active within LIVE_SECONDS; or held open (their native id is in `held`) and active within HELD_SECONDS; or
+    below such a session of their device."""
+    at = F.lit(now).cast("timestamp")
+    since = lambda s: F.coalesce(F.col("last_activity_at") > at - F.make_dt_interval(secs=F.lit(s)), F.lit(False))
+    open_ = F.col("session_id").isin(held) & since(HELD_SECONDS) if held else F.lit(False)
+    parents = sessions.where(open_).select(F.col("session_id").alias("parent_session_id"), "device_id").distinct()
+    return sessions.where(~since(LIVE_SECONDS) & ~open_).join(parents, ["parent_session_id", "device_id"], "left_anti").select(*sessions.columns)
+
+
 def scoped(messages: DataFrame, sessions: DataFrame, filters: Filters) -> DataFrame:
     """Messages of the sessions that pass. The session side is narrowed first and joined by id; Spark broadcasts it where it is small."""
     kept = sessions.where(filters.session_predicate())

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyloom.functions.regex import required_literals, smart_case, to_java
+from tallyloom.functions.text import clip_bytes
 
 RELEVANCE_CAP = 1000
 LINE_CAP, LINE_BYTES = 10, 300
@@ -88,9 +89,11 @@ def capped_per_session(rows: DataFrame, order: list[Column], most: int) -> DataF
     return rows.withColumn("__nth", nth).where(F.col("__nth") <= most).drop("__nth")
 
 
-def page(messages: DataFrame, pattern: Pattern, order: str = "newest", limit: int = 20, offset: int = 0, max_per_session: int | None = None) -> DataFrame:
-    """The page of collapsed hits. `messages` need id, session_id, ts, text and content_sha."""
+def page(messages: DataFrame, pattern: Pattern, order: str = "newest", limit: int = 20, offset: int = 0, max_per_session: int | None = None, rank_newest: int | None = None) -> DataFrame:
+    """The page of collapsed hits. `messages` need id, session_id, ts, text and content_sha. `rank_newest`: rank only so many of the newest hits."""
     hits = found(messages, pattern)
+    if rank_newest:
+        hits = hits.orderBy(*newest()).limit(rank_newest)
     if order == "relevance":
         hits = hits.withColumn("matches", F.least(pattern.count(F.col("text")), F.lit(RELEVANCE_CAP)))
     keys = {"newest": newest(), "oldest": oldest(), "relevance": [F.col("matches").desc(), *newest()]}[order]
@@ -100,6 +103,18 @@ def page(messages: DataFrame, pattern: Pattern, order: str = "newest", limit: in
     return hits.orderBy(*keys).offset(offset).limit(limit)
 
 
+def counted_page(messages: DataFrame, pattern: Pattern, limit: int = 20, offset: int = 0, **options) -> tuple[DataFrame, dict]:
+    """The page, and what tells how to go on: total (distinct texts that match), exact, next_offset (None at the end)."""
+    total = totals(messages, pattern).first().texts
+    following = offset + limit
+    return page(messages, pattern, limit=limit, offset=offset, **options), {"total": total, "exact": True, "next_offset": following if following < total else None}
+
+
+def bounded(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """At most so many rows, for a caller with a budget; and whether there are more (the result is then partial)."""
+    return rows.limit(most), rows.limit(most + 1).count() > most
+
+
 def sessions_with(messages: DataFrame, pattern: Pattern) -> DataFrame:
     """session_id, messages (distinct texts that match) and matches of each session: the -l and -c modes."""
     hits = found(messages, pattern).select("session_id", "content_sha", pattern.count(F.col("text")).alias("n"))
@@ -121,6 +136,14 @@ def lines(hits: DataFrame, pattern: Pattern, before: int = 0, after: int = 0) ->
     return marked.withColumn("__near", F.max("is_match").over(near)).where("__near").drop("__near")
 
 
+def shown_lines(hits: DataFrame, pattern: Pattern, most: int = LINE_CAP, size: int = LINE_BYTES) -> DataFrame:
+    """id, line, line_text (at most `size` bytes) of the first `most` matching lines of each text, and more: how many others match."""
+    matching = lines(hits, pattern)
+    nth, n = F.row_number().over(W.partitionBy("id").orderBy("line")), F.count("*").over(W.partitionBy("id"))
+    shown = matching.withColumn("__nth", nth).withColumn("more", F.greatest(n - most, F.lit(0))).where(F.col("__nth") <= most)
+    return shown.select("id", "line", clip_bytes(F.col("line_text"), size).alias("line_text"), "more")
+
+
 def only_matching(hits: DataFrame, pattern: Pattern) -> DataFrame:
     """id, line, nth and match of every match."""
     rows = lines(hits, pattern).select("id", "line", F.posexplode(F.regexp_extract_all("line_text", F.lit(pattern.java()), F.lit(0))).alias("nth", "match"))

@@ -67,3 +67,21 @@ def quarantined(parses: DataFrame) -> DataFrame:
 
 def newest_events(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.col("ts").desc_nulls_last(), F.col("event_id").asc()).limit(n)
+
+
+def extraction_summary(parses: DataFrame, info: tuple[str, ...] = ("unknown_record_type",)) -> DataFrame:
+    """One row: assessed, unassessed, affected, warning and info sources, by the issues that their reports count."""
+    rows = issues(parses)
+    has = F.coalesce(F.size("issues"), F.lit(0)) > 0
+    warns = F.coalesce(F.exists(F.map_keys("issues"), lambda k: ~k.isin(*info)), F.lit(False))
+    tells = F.coalesce(F.exists(F.map_keys("issues"), lambda k: k.isin(*info)), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    return rows.agg(count(F.col("known")).alias("assessed"), count(~F.col("known")).alias("unassessed"), count(F.col("known") & has).alias("affected"), count(F.col("known") & warns).alias("warning"), count(F.col("known") & tells).alias("info"))
+
+
+def upload_snapshot(parses: DataFrame) -> DataFrame:
+    """One row over all devices: devices, sources, pending, quarantined."""
+    by_device = parse_coverage(parses)
+    sources = parses.select("source").distinct().agg(F.count("*").alias("sources"))
+    totals = by_device.agg(F.count("*").alias("devices"), F.coalesce(F.sum("pending"), F.lit(0)).alias("pending"), F.coalesce(F.sum("quarantined"), F.lit(0)).alias("quarantined"))
+    return totals.join(F.broadcast(sources))  # one row each

@@ -56,7 +56,7 @@ FROM {d.table('conversations')} WHERE conv_id IS NOT NULL AND turn IS NOT NULL A
 @rule("sessions")
 def _sessions(d: Dialect) -> str:
     app = "CAST(conv_id % 3 AS STRING)"
-    return f"""SELECT 'gc' || {C} AS id, 'gs' || {C} AS session_id, CASE WHEN conv_id % 10 <> 0 THEN 'gs' || CAST(CAST(floor(conv_id / 2.0) AS BIGINT) AS STRING) END AS parent_session_id, CAST(NULL AS STRING) AS parent_conversation_id,
+    return f"""SELECT 'gc' || {C} AS id, 'gs' || {C} AS session_id, CASE WHEN conv_id % 10 <> 0 THEN 'gs' || CAST(CAST(floor(conv_id / 2.0) AS BIGINT) AS STRING) END AS parent_session_id, CASE WHEN conv_id % 4 > 1 AND conv_id % 10 <> 0 THEN 'gc' || CAST(CAST(floor(conv_id / 2.0) AS BIGINT) AS STRING) END AS parent_conversation_id,
 CASE WHEN conv_id % 4 = 1 THEN 'n2' END AS spawned_by_native_id, CASE conv_id % 4 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' WHEN 2 THEN 'devin' ELSE 'opencode' END AS agent,
 'd' || CAST(conv_id % 7 AS STRING) AS device_id, 'u' || CAST(conv_id % 5 AS STRING) AS user_id, CASE WHEN conv_id % 17 <> 16 THEN '/work/app' || {app} || '/src' END AS cwd,
 CASE WHEN conv_id % 6 <> 5 THEN '/work/app' || {app} END AS repo_root, CASE WHEN conv_id % 5 <> 4 THEN 'github.com/acme/app' || {app} END AS remote, CASE WHEN conv_id % 3 <> 0 THEN 'Title ' || {C} END AS title,
@@ -136,3 +136,21 @@ def _tombstones(d: Dialect) -> str:
 @rule("secrets")
 def _secrets(d: Dialect) -> str:
     return f"SELECT CAST(doc_id + 100 AS INT) AS id, text AS line FROM {d.table('documents')} WHERE text <> ''"
+
+
+@rule("sources")
+def _sources(d: Dialect) -> str:
+    k = "CAST(p_partkey AS STRING)"
+    return f"SELECT 'p' || {k} AS source, CASE WHEN p_partkey % 3 = 0 THEN 'p' || CAST(p_partkey - 1 AS STRING) WHEN p_partkey % 12 = 5 THEN 'p' || CAST(p_partkey + 1 AS STRING) END AS previous, p_partkey % 10 = 0 AS tombstoned, CAST(p_size AS BIGINT) AS generation, 'v' || CAST(p_partkey % 3 AS STRING) AS contract FROM {d.table('part')}"
+
+
+@rule("credentials")
+def _credentials(d: Dialect) -> str:
+    k = "CAST(c_custkey AS STRING)"
+    return f"""SELECT 'k' || {k} AS id, CASE c_custkey % 3 WHEN 0 THEN 'device' WHEN 1 THEN 'session' ELSE 'minted' END AS kind, CASE WHEN c_custkey % 4 <> 0 THEN {d.later('2026-01-01 00:00:00', '(c_custkey % 20) * 86400')} END AS expires_at,
+{d.later('2025-09-01 00:00:00', '(c_custkey % 150) * 86400')} AS last_seen_at, CASE WHEN c_custkey % 7 = 0 THEN {d.later('2026-01-01 00:00:00', 'c_custkey % 100')} END AS revoked_at FROM {d.table('customer')}"""
+
+
+@rule("policy_links")
+def _policy_links(d: Dialect) -> str:
+    return f"SELECT DISTINCT 'gs' || {C} AS session_id, 'gs' || CAST(conv_id + 5 AS STRING) AS policy_session_id FROM {d.table('conversations')} WHERE conv_id % 8 = 3"

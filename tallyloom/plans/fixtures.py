@@ -126,3 +126,8 @@ table("parses", "source STRING, device STRING, generation LONG, requested LONG,
 table("chunks", "hash STRING, owner STRING, size LONG, stored LONG, tail STRING", [("h1", "u1", 100, 40, None), ("h2", "u1", 50, 50, "tail"), ("h3", "u2", 10, 9, "é"), ("h4", "u2", 10, 9, None)])
 table("manifest", "source STRING, generation LONG, ordinal INT, hash STRING", [("f1", 1, 0, "h1"), ("f1", 1, 1, "h2"), ("f2", 1, 0, "h3")])
 table("tombstones", "user_id STRING, session_id STRING", [("u2", "s-gamma")])
+table("sources", "source STRING, previous STRING, tombstoned BOOLEAN, generation LONG, contract STRING", [("f1", None, False, 1, "v1"), ("f2", "f1", False, 2, "v2"), ("f3", "f4", False, 3, "v2"), ("f4", "f3", False, 4, None), ("f5", "f2", True, 5, "v2")])
+table("credentials", "id STRING, kind STRING, expires_at TIMESTAMP, last_seen_at TIMESTAMP, revoked_at TIMESTAMP", [
+    ("x1", "device", "2026-01-01 00:00:00", "2026-01-01 00:00:00", None), ("x2", "session", "2025-01-01 00:00:00", None, None), ("x3", "device", None, "2025-01-01 00:00:00", None), ("x4", "minted", "2025-01-01 00:00:00", None, "2025-06-01 00:00:00"),
+])
+table("policy_links", "session_id STRING, policy_session_id STRING", [("s-alpha-1", "s-policy"), ("s-policy", "s-far"), ("s-other", "s-else")])

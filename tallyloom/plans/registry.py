@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from tallyloom.plans import lifecycle, retrieval, structure, summaries  # noqa: E402,F401
+from tallyloom.plans import governance, lifecycle, retrieval, structure, summaries  # noqa: E402,F401

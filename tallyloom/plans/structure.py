@@ -96,7 +96,7 @@ def shortest_unique_prefix(spark, sf_dir):
 
 
 @query("repo_components", f"""WITH {cte('sessions')}, pl AS (SELECT DISTINCT 'place:' || device_id || ':' || repo_root AS place, remote FROM sessions WHERE repo_root IS NOT NULL)
-SELECT place, coalesce((SELECT min(q.place) FROM pl q WHERE q.remote = pl.remote), place) AS component FROM pl""")
+SELECT p.place, least(coalesce(min(q.place), p.place), p.place) AS component FROM (SELECT DISTINCT place FROM pl) p LEFT JOIN pl r ON r.place = p.place AND r.remote IS NOT NULL LEFT JOIN pl q ON q.remote = r.remote GROUP BY p.place""")
 def repo_components(spark, sf_dir):
     spark.sparkContext.setCheckpointDir(v_folder(spark))
     found = gr.components(se.repo_edges(frame(spark, "sessions", sf_dir)))

@@ -90,11 +90,6 @@ def subagent_count(spark, sf_dir):
     return d.subagents(frame(spark, "sessions", sf_dir))
 
 
-@query("session_digest")
-def session_digest(spark, sf_dir):
-    return d.digests(frame(spark, "messages", sf_dir), frame(spark, "sessions", sf_dir))
-
-
 @query("coverage_filter_counts", f"""WITH {cte('parses')}, l AS (SELECT * FROM parses p WHERE generation = (SELECT max(generation) FROM parses q WHERE q.source = p.source)), x AS (SELECT *, coalesce(requested > coalesce(parsed, 0) AND NOT quarantined, FALSE) AS pending FROM l)
 SELECT device, count(*) FILTER (WHERE requested IS NULL) AS untracked, count(*) FILTER (WHERE pending) AS pending, count(*) FILTER (WHERE pending AND failures > 0) AS failing, count(*) FILTER (WHERE quarantined) AS quarantined, min(requested_at) FILTER (WHERE pending) AS oldest_pending FROM x GROUP BY device""")
 def coverage_filter_counts(spark, sf_dir):

@@ -51,6 +51,41 @@ def claude(rows: DataFrame) -> DataFrame:
     )
 
 
+def claude_attachments(rows: DataFrame) -> DataFrame:
+    """Messages in attachments: prompts that a person queued (kind user) and what hooks added to the context (kind injected, one for each text)."""
+    a = rows.where(_j("line", "$.type") == "attachment").withColumn("a", _j("line", "$.attachment"))
+    meta = F.coalesce(_j("line", "$.isMeta") == "true", F.lit(False)) | F.coalesce(_j("a", "$.isMeta") == "true", F.lit(False))
+    queued = (_j("a", "$.type") == "queued_command") & (_j("a", "$.commandMode") == "prompt") & ~meta
+    hooks = (_j("a", "$.type") == "hook_additional_context") & ~F.coalesce(_j("line", "$.isMeta") == "true", F.lit(False))
+    content = _j("a", "$.content")
+    texts = F.when(queued, F.array(_j("a", "$.prompt"))).when(hooks, F.when(content.startswith("["), F.from_json(content, "array<string>")).otherwise(F.array(content)))
+    parts = a.withColumn("kind", F.when(queued, "user").when(hooks, "injected")).where("kind is not null").select("*", F.posexplode(texts).alias("part", "text")).where("text != ''")
+    enrichment = F.when(F.col("kind") == "injected", F.to_json(F.struct(F.lit(True).alias("hook_context")))).otherwise(F.to_json(F.struct(F.lit(True).alias("queued_command"))))
+    return parts.select(
+        _j("line", "$.sessionId").alias("session_id"), F.concat(_j("line", "$.uuid"), F.when(F.col("part") > 0, F.concat(F.lit("#"), F.col("part").cast("string"))).otherwise("")).alias("native_id"), F.col("part").cast("int").alias("part"),
+        ordinal(F.col("line_no"), F.col("part")).alias("ordinal"), "kind", F.try_to_timestamp(_j("line", "$.timestamp")).alias("ts"), "text", enrichment.alias("enrichment"), "line_no", "byte_offset", "byte_len",
+    )
+
+
+def hook_context(agent: Column, kind: Column, role: Column, enrichment: Column) -> Column:
+    """Whether a message is context that hooks added. What an agent or a person wrote never is, whatever its text."""
+    marked = F.coalesce(F.get_json_object(enrichment, "$.hook_context").isNotNull(), F.lit(False))
+    return F.coalesce(F.when(agent.isin("claude", "opencode"), marked & (kind == "injected")).when(agent == "codex", marked & (kind == "system")).when(agent == "devin", (kind == "system") & (role == "system")), F.lit(False))
+
+
+def foreign_index(rows: DataFrame) -> DataFrame:
+    """Messages of an exported index of another tool: lines of version 1 that hold a conversation (the first line) or one of its messages.
+    A file is taken whole or not at all: one bad line, or a message of another session, leaves it out."""
+    r = rows.withColumn("c", _j("line", "$.conversation")).withColumn("m", _j("line", "$.message")).withColumn("v", _j("line", "$.version"))
+    head = r.where("c is not null").groupBy("path").agg(F.min_by(_j("c", "$.session_id"), "line_no").alias("session_id"), F.min("line_no").alias("at"), F.count("*").alias("heads"))
+    first = r.groupBy("path").agg(F.min("line_no").alias("first"))
+    bad = F.coalesce(F.col("v") != "1", F.lit(True)) | (F.col("c").isNull() == F.col("m").isNull())
+    met = r.join(head, "path", "left").join(first, "path")
+    wrong = met.where(bad | F.col("session_id").isNull() | (F.col("at") != F.col("first")) | (F.col("heads") != 1) | (F.col("m").isNotNull() & ~_j("m", "$.session_id").eqNullSafe(F.col("session_id")))).select("path").distinct()
+    good = met.where("m is not null").join(wrong, "path", "left_anti")
+    return good.select("path", "session_id", _j("m", "$.native_id").alias("native_id"), _j("m", "$.kind").alias("kind"), _j("m", "$.text").alias("text"), F.try_to_timestamp(_j("m", "$.ts")).alias("ts"), "line_no", "byte_offset", "byte_len")
+
+
 def codex(rows: DataFrame) -> DataFrame:
     """Messages of the second harness: response items; the session is that of the file's session_meta line."""
     p = rows.withColumn("type", _j("line", "$.type")).withColumn("payload", _j("line", "$.payload"))
