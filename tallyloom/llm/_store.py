@@ -14,6 +14,7 @@ from tallyloom.sources.shipping import ship
 
 #: Rows in an Arrow batch, where the session doesn't say: documents are long, and a batch is held by JVM and worker at once.
 BATCH_ROWS = 2000
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _watchers: list[list] = []
 
 
@@ -30,6 +31,17 @@ def tidied(spark: SparkSession) -> Iterator[None]:
             space.close()
 
 
+@contextmanager
+def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What a step shuffles is removed when its table is written, not when the driver's garbage collector comes to it."""
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(TIDY, before)
+
+
 class Workspace:
     """A folder of one run. A written table cuts the lineage: later steps read it, also after executors are lost."""
 
@@ -47,7 +59,8 @@ class Workspace:
         self.count += 1
         path = f"{self.path}/{self.count:03d}-{name}"
         schema = df.schema
-        df.write.parquet(path)
+        with _tidy_shuffles(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._tallyloom_path = path
         return out

@@ -255,7 +255,7 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Of equal texts only the earliest is looked at: all windows of the others stand there.
     earliest = texts.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("e"), F.count("*").alias("copies"))
     earliest = space.table(earliest.select("text_hash", F.col("e.doc_id").alias("own"), "copies"), "earliest")
-    copies = texts.select(*key).join(earliest.where("copies > 1"), "text_hash").where(~F.col("doc_id").eqNullSafe(F.col("own"))).select(*key)
+    copies = space.table(texts.select(*key).join(earliest.where("copies > 1"), "text_hash").where(~F.col("doc_id").eqNullSafe(F.col("own"))).select(*key), "copies")
     own = earliest.select("text_hash", F.col("own").alias("doc_id"))
     alone = texts.alias("t").join(own.alias("o"), (F.col("t.text_hash") == F.col("o.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
     marks = alone.select(*key, F.explode("marks").alias("mark"))
@@ -282,10 +282,13 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 wins = _run_hashes(words, least)[first].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - bounds[owner]).astype(np.int32)), pa.array(wins)], names=[*key, "first", "win"])
 
+    space.drop(texts, earliest)
     wins = space.table(candidates.mapInArrow(B.lean(scan), "doc_id long, text_hash long, first int, win long"), "windows")
+    space.drop(matched)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")
     origin = wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("win", "origin")
-    spans = wins.join(origin, "win").where(place > F.col("origin")).groupBy(*key).agg(F.collect_list("first").alias("firsts"))
+    spans = space.table(wins.join(origin, "win").where(place > F.col("origin")).groupBy(*key).agg(F.collect_list("first").alias("firsts")), "spans")
+    space.drop(wins)
     return spans.unionByName(copies.withColumn("firsts", F.lit(None).cast("array<int>")))
 
 
