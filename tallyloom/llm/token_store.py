@@ -37,7 +37,7 @@ TRAIN_DOCS = 600  # documents of the dictionary's sample, those with the lowest
 TRAIN_CHARS = 6 << 20
 DICTIONARY_BYTES = 64 << 10
 SHARD_IDS = 1 << 20
-CACHE_BITS = 19  # a worker remembers the ids of up to three quarters of so many chunks
+CACHE_BITS = 20  # a worker remembers the ids of up to three quarters of so many chunks
 LEVEL = 3
 
 _CHUNK = re.compile(r"\s*\S+|\s+")
