@@ -8,7 +8,7 @@ from tallyloom.functions import text as T
 from tallyloom.operators import bus as b, digest as d, filters as fl, governance as gv, grep as g, reports as rp
 from tallyloom.plans.fixtures import cte, frame
 from tallyloom.plans.registry import query
-from tallyloom.plans.retrieval import CORPUS, THE_TION
+from tallyloom.plans.retrieval import CORPUS, THE_TION, file_state
 from tallyloom.plans.summaries import EVIDENCE, LIVE
 from tallyloom.sources import views as v
 from tallyloom.sources.shared import shared_folder
@@ -125,9 +125,10 @@ def grep_indexed(spark, sf_dir):
 
     from tallyloom.operators.trigrams import TrigramIndex
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    rows = v.corpus(spark, sf_dir)
+    key = file_state(spark, rows)
     if key not in _trigrams:
-        _trigrams[key] = TrigramIndex.build(v.corpus(spark, sf_dir), f"{shared_folder(spark)}/trigrams-{uuid4().hex}")
+        _trigrams[key] = TrigramIndex.build(rows, f"{shared_folder(spark)}/trigrams-{uuid4().hex}")
     return _trigrams[key].found(g.Pattern(("Apache License", "MIT License"), fixed=True, ignore_case=True)).select("id")
 
 

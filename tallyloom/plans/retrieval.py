@@ -224,6 +224,13 @@ def tokenize_terms(spark, sf_dir):
 _indexes: dict[tuple, object] = {}
 
 
+def file_state(spark, rows) -> tuple:
+    """The session, and the name, size and time of every file that the rows come from."""
+    files = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(rows.inputFiles())]
+    found = [p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p) for p in files]
+    return (spark.sparkContext.applicationId, *((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in found))
+
+
 def indexed(spark, sf_dir):
     """The stored index of documents: built once for a session and state of the table's files, then only read."""
     from uuid import uuid4
@@ -232,9 +239,7 @@ def indexed(spark, sf_dir):
     from tallyloom.sources.shared import shared_folder
 
     rows = v.corpus(spark, sf_dir)
-    files = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in sorted(rows.inputFiles())]
-    fs = [p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p) for p in files]
-    key = (spark.sparkContext.applicationId, sf_dir, *((str(x.getPath()), x.getLen(), x.getModificationTime()) for x in fs))
+    key = file_state(spark, rows)
     if key not in _indexes:
         _indexes[key] = SearchIndex.build(rows, f"{shared_folder(spark)}/index-{uuid4().hex}")
     return _indexes[key]
