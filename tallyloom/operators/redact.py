@@ -84,7 +84,9 @@ _ASSIGN = re.compile(rb"(?i)([0-9a-z_.-]{0,64}?)(" + b"|".join(re.escape(w.encod
 _VALUE_END = re.compile(rb"[\s\"'`\\,;(){}\[\]<>&|\x00-\x1f]|\Z")
 RULES = [PRIVATE_KEY, *TOKENS, *OTHERS]
 _COMPILED = [(r, re.compile(r.pattern.encode())) for r in RULES]
-_KEYWORDS = re.compile(b"|".join(re.escape(k.encode()) for r in RULES if not r.any_case for k in r.keywords) + b"|(?i:" + b"|".join(re.escape(k.encode()) for r in RULES if r.any_case for k in r.keywords) + b"|" + b"|".join(re.escape(w.encode()) for w in ASSIGNED) + b")")
+#: One of these is in every text that a rule can match: as written, or in any case.
+_CASED = tuple(sorted({k.encode() for r in RULES if not r.any_case for k in r.keywords}))
+_FOLDED = tuple(sorted({k.lower().encode() for r in RULES if r.any_case for k in r.keywords} | {w.encode() for w in ASSIGNED}))
 
 
 def entropy(value: bytes) -> float:
@@ -168,11 +170,12 @@ def _assignments(line: bytes):
 
 def find(line: bytes) -> list[tuple[int, int, str, bool]]:
     """(start, end, rule, hashed) of the secrets, in order; overlaps are one, named by the earlier rule."""
-    if not _KEYWORDS.search(line):
+    low = line.lower()
+    if not any(k in low for k in _FOLDED) and not any(k in line for k in _CASED):
         return []
     out = []
     for priority, (rule, pattern) in enumerate(_COMPILED):
-        text = line.lower() if rule.any_case else line
+        text = low if rule.any_case else line
         if not any(k.encode() in text for k in rule.keywords):
             continue
         for m in pattern.finditer(line):
