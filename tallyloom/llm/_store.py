@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.sources.shared import shared_folder
 from tallyloom.sources.shipping import ship
@@ -14,6 +14,9 @@ from tallyloom.sources.shipping import ship
 
 #: Rows in an Arrow batch, where the session doesn't say: documents are long, and a batch is held by JVM and worker at once.
 BATCH_ROWS = 2000
+#: Frequent keys are dealt in parts of no more than one of so many parts of all rows, and no fewer than so many rows.
+PARTS = 2048
+PART_ROWS = 1000
 TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _watchers: list[list] = []
 
@@ -42,6 +45,34 @@ def _tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(TIDY, before)
 
 
+def each_part(parts: Column) -> Column:
+    """Its row once for each part."""
+    return F.explode(F.sequence(F.lit(0), parts - 1))
+
+
+def parted(rows: DataFrame, hot: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """rows with part and parts, by a hash of the columns `by`; hot (key, parts) is bounded: see `dealt`."""
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return met.withColumn("part", F.pmod(F.xxhash64(*by), F.col("parts")).cast("int"))
+
+
+def in_parts(counts: DataFrame, n: str) -> DataFrame:
+    """counts with parts: how many tasks the n rows of a key are dealt to."""
+    share = max((counts.agg(F.sum(n)).first()[0] or 0) / PARTS, PART_ROWS)
+    return counts.withColumn("parts", F.greatest(F.ceil(F.col(n) / share), F.lit(1)).cast("int"))
+
+
+def dealt(rows: DataFrame, counts: DataFrame, key: str, by: list[str], n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on [key, "part"], which gives what a join on the key gives, but deals the rows of a frequent key to many tasks.
+
+    counts has one row per key, and in n how many rows have it; it is read three times, so it should be a written table. A key in several
+    parts has more than one of PARTS parts of all rows: there are fewer than PARTS such keys, with fewer than 2 * PARTS parts together,
+    whatever the size of the tables. Only these keys are broadcast.
+    """
+    split = in_parts(counts, n)
+    return parted(rows, split.where("parts > 1").select(key, "parts"), key, by), split.select("*", each_part(F.col("parts")).alias("part")).drop("parts")
+
+
 class Workspace:
     """A folder of one run. A written table cuts the lineage: later steps read it, also after executors are lost."""
 

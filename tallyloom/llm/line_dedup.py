@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.llm import _bytes as B
-from tallyloom.llm._store import Workspace
+from tallyloom.llm._store import Workspace, dealt
 
 MIN_WORDS = 50
 MANY_WORDS = 8
@@ -59,10 +59,6 @@ def text_windows(hashes: np.ndarray, words: np.ndarray, least: int) -> list[tupl
     return out
 
 
-def _fingerprints(hashes: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
-    return np.unique(hashes[[s for _, _, s in text_windows(hashes, words, least)]]) if len(hashes) else hashes
-
-
 def lines_of(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
     """doc_id, text_hash, hashes and words (of lines that hold a word), selected (hash of each fingerprint)."""
 
@@ -92,8 +88,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     lines = space.table(lines_of(docs, doc_id, text, least).dropDuplicates(key), "lines")
     marks = lines.select(*key, F.posexplode("selected").alias("i", "mark")).select(*key, "mark")
     # A fingerprint twice in one text counts as well, so marks are not distinct.
-    often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    matched = marks.join(often, "mark", "left_semi").groupBy(*key).agg(F.collect_set("mark").alias("marks"))
+    often = space.table(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    marks, often = dealt(marks, often, "mark", key)
+    matched = marks.join(often, ["mark", "part"], "left_semi").groupBy(*key).agg(F.collect_set("mark").alias("marks"))
     candidates = lines.alias("l").join(matched.alias("m"), F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.text_hash") == F.col("m.text_hash"))).select("l.doc_id", "l.text_hash", "hashes", "words", "marks")
 
     def scan(batches):
@@ -119,8 +116,9 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
 
     wins = space.table(candidates.mapInArrow(B.lean(scan), "doc_id long, text_hash long, first int, end int, win long"), "windows")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")
-    origin = wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1")
-    later = wins.join(origin, "win").where(place > F.col("origin"))
+    origin = space.table(wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
+    wins, origin = dealt(wins, origin, "win", [*key, "first"])
+    later = wins.join(origin, ["win", "part"]).where(place > F.col("origin"))
     spans = later.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "end"))).alias("windows"))
     # Overlapping or touching windows make one run.
     return spans.select(*key, _merged("windows").alias("runs"))
@@ -255,12 +253,16 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Of equal texts only the earliest is looked at: all windows of the others stand there.
     earliest = texts.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id")).alias("e"), F.count("*").alias("copies"))
     earliest = space.table(earliest.select("text_hash", F.col("e.doc_id").alias("own"), "copies"), "earliest")
-    copies = space.table(texts.select(*key).join(earliest.where("copies > 1"), "text_hash").where(~F.col("doc_id").eqNullSafe(F.col("own"))).select(*key), "copies")
+    each, several = dealt(texts.select(*key), earliest.where("copies > 1"), "text_hash", ["doc_id"], "copies")
+    copies = space.table(each.join(several, ["text_hash", "part"]).where(~F.col("doc_id").eqNullSafe(F.col("own"))).select(*key), "copies")
     own = earliest.select("text_hash", F.col("own").alias("doc_id"))
     alone = texts.alias("t").join(own.alias("o"), (F.col("t.text_hash") == F.col("o.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
     marks = alone.select(*key, F.explode("marks").alias("mark"))
-    often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    matched = space.table(marks.join(often, "mark", "left_semi").groupBy(*key).agg(F.collect_set("mark").alias("marks")), "matched")
+    often = space.table(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # A passage that stands in a third of all texts has its fingerprints dealt to many tasks, and below its windows.
+    once = alone.select(*key, F.explode(F.array_distinct("marks")).alias("mark"))
+    each, several = dealt(once, often, "mark", key)
+    matched = space.table(each.join(several, ["mark", "part"], "left_semi").groupBy(*key).agg(F.collect_set("mark").alias("marks")), "matched")
     on = (F.col("d.text_hash") == F.col("m.text_hash")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
     candidates = _keyed(docs, doc_id, text).alias("d").join(matched.alias("m"), on).select("d.doc_id", "d.text_hash", "marks", "text")
 
@@ -282,13 +284,14 @@ def repeated_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 wins = _run_hashes(words, least)[first].view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - bounds[owner]).astype(np.int32)), pa.array(wins)], names=[*key, "first", "win"])
 
-    space.drop(texts, earliest)
+    space.drop(texts, earliest, often)
     wins = space.table(candidates.mapInArrow(B.lean(scan), "doc_id long, text_hash long, first int, win long"), "windows")
     space.drop(matched)
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "first")
-    origin = wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1").select("win", "origin")
-    spans = space.table(wins.join(origin, "win").where(place > F.col("origin")).groupBy(*key).agg(F.collect_list("first").alias("firsts")), "spans")
-    space.drop(wins)
+    origins = space.table(wins.groupBy("win").agg(F.min(place).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
+    each, several = dealt(wins, origins, "win", [*key, "first"])
+    spans = space.table(each.join(several, ["win", "part"]).where(place > F.col("origin")).groupBy(*key).agg(F.collect_list("first").alias("firsts")), "spans")
+    space.drop(wins, origins)
     return spans.unionByName(copies.withColumn("firsts", F.lit(None).cast("array<int>")))
 
 
