@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tallyloom.llm import _bytes as B
-from tallyloom.llm._store import Workspace
+from tallyloom.llm._store import Workspace, dealt, each_part, in_parts, parted
 
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
@@ -180,19 +180,27 @@ def _verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
 def components(space: Workspace, edges: DataFrame) -> DataFrame:
     """node, label: the least node of each node's connected component, for the nodes of `edges` (a, b)."""
     both = space.table(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = space.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    first = space.table(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"), "n"), "labels")
+    # A node with many links has them dealt to several tasks.
+    labels = in_parts(first, "n").select("node", "label", "parts")
+    spread = space.table(parted(both, labels.where("parts > 1").select(F.col("node").alias("b"), "parts"), "b", ["a"]).select("a", "b", "part"), "dealt")
+    space.drop(both)
+    labels._tallyloom_path = first._tallyloom_path
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
+        at = labels.select(F.col("node").alias("b"), "label", each_part(F.col("parts")).alias("part"))
+        near = spread.join(at, ["b", "part"]).groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
+        hooked = labels.join(near, "node").select("node", "parts", F.col("label").alias("old"), F.least("label", "m").alias("to"))
         up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        step = space.table(hooked.join(up, "to").select("node", "old", F.least("to", "top").alias("label")), "labels")
+        step = space.table(hooked.join(up, "to").select("node", "parts", "old", F.least("to", "top").alias("label")), "labels")
         changed = step.where("old != label").limit(1).count()
         space.drop(labels)
-        labels = step.select("node", "label")
+        labels = step.select("node", "label", "parts")
         labels._tallyloom_path = step._tallyloom_path
         if not changed:
-            space.drop(both)
-            return labels
+            space.drop(spread)
+            out = labels.select("node", "label")
+            out._tallyloom_path = labels._tallyloom_path
+            return out
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -226,8 +234,11 @@ def _classed(docs: DataFrame, doc_id: str, text: str, k: int, least: float) -> t
 def _links(space: Workspace, docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, k: int, least: float) -> DataFrame | None:
     """All links (a, b) that are needed to connect what is similar, or None if there are none."""
     spread = nodes.where("bands is not null").select("node", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("center")).where("size > 1").drop("size")
-    members = space.table(spread.join(buckets, "key"), "members")
+    buckets = space.table(spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("center")).where("size > 1"), "buckets")
+    # The members of a large bucket are dealt to several tasks, here and in all later joins by key.
+    each, several = dealt(spread, buckets, "key", ["node"], "size")
+    members = space.table(each.join(several.drop("size"), ["key", "part"]), "members")
+    space.drop(buckets)
     pairs = space.table(members.where("node != center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct(), "pairs")
     if not pairs.limit(1).count():
         return None
@@ -237,9 +248,9 @@ def _links(space: Workspace, docs: DataFrame, nodes: DataFrame, doc_id: str, tex
     open_ = members
     for turn in range(STARS + 1):
         labels = components(space, checked.where("linked"))
-        owned = open_.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = owned.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        open_ = space.table(owned.join(mixed, "key", "left_semi"), "open")
+        owned = open_.select("key", "part", "parts", "node").join(labels, "node", "left").select("key", "part", "parts", "node", F.coalesce("label", "node").alias("label"))
+        mixed = owned.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("parts").alias("parts")).where("lo != hi")
+        open_ = space.table(owned.join(mixed.select("key", each_part(F.col("parts")).alias("part")), ["key", "part"], "left_semi"), "open")
         space.drop(labels)
         if not open_.limit(1).count():
             break
@@ -247,10 +258,10 @@ def _links(space: Workspace, docs: DataFrame, nodes: DataFrame, doc_id: str, tex
         if turn < STARS:
             rest = open_.join(able, "node")
             one = F.struct(F.col("node").alias("a"), F.col("label").alias("la"), F.col("weight").alias("wa"), F.col("common").alias("ca"))
-            centers = rest.groupBy("key").agg(F.max(F.struct("central", one.alias("one"))).alias("m")).select("key", "m.one.*")
+            centers = rest.groupBy("key").agg(F.max(F.struct("central", one.alias("one"))).alias("m"), F.max("parts").alias("parts")).select("key", each_part(F.col("parts")).alias("part"), "m.one.*")
             # What two members share is no more than what either shares with other classes.
             near = (F.col("la") != F.col("label")) & (F.least("ca", "common") >= least / (1 + least) * (F.col("wa") + F.col("weight")) - 1e-9)
-            pairs = rest.join(centers, "key").where(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+            pairs = rest.join(centers, ["key", "part"]).where(near).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         else:
             pairs = _left_pairs(grams, able, least)
         fresh = space.table(pairs.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
@@ -267,12 +278,14 @@ def _shared_grams(space: Workspace, open_: DataFrame, shingles: DataFrame, least
     grams = nodes.join(shingles, "node").select("node", "label", F.posexplode("grams").alias("i", "gram"), "counts")
     grams = space.table(grams.select("node", "label", "gram", F.coalesce(F.element_at("counts", F.col("i") + 1), F.lit(1)).alias("w")), "grams")
     shared = grams.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("df")).where("lo != hi").select("gram", "df")
+    shared = space.table(shared, "shingles-df")
     weights = grams.groupBy("node").agg(F.sum("w").alias("weight"))
-    met = space.table(grams.join(shared, "gram"), "shared")
+    each, several = dealt(grams, shared, "gram", ["node"], "df")
+    met = space.table(each.join(several, ["gram", "part"]).select("gram", "node", "label", "w", "df"), "shared")
     common = met.groupBy("node").agg(F.sum("w").alias("common"), F.sum(F.col("w") * F.log2("df")).alias("central"))
     enough = common.join(weights, "node").where(F.col("common") >= least * F.col("weight") - 1e-9)
     able = space.table(enough.select("node", "weight", "common", (F.col("central") / F.col("weight")).alias("central")), "able")
-    space.drop(grams)
+    space.drop(grams, shared)
     return met, able
 
 

@@ -536,7 +536,9 @@ def near(spark):
     return spark.createDataFrame([(1000 - i, t) for i, t in enumerate(rows)], "doc_id long, text string")
 
 
-def test_near_classes_are_the_components(near):
+@pytest.mark.parametrize("part_rows", [1, 1000])
+def test_near_classes_are_the_components(near, monkeypatch, part_rows):
+    monkeypatch.setattr(_store, "PART_ROWS", part_rows)
     rows = [tuple(x) for x in near.collect()]
     expected = brute_classes(rows)
     got = {x.doc_id: (x.class_id, x.class_size) for x in near_dedup.classes(near).collect()}
