@@ -132,9 +132,10 @@ def term_counts(rows, words: list[str]) -> dict[str, int]:
     return {w: got[i] or 0 for i, w in enumerate(words)}
 
 
-def relaxed(rows, query: str, cap: int = PROBE_CAP) -> Match:
+def relaxed(rows, query: str, cap: float = math.inf) -> Match:
     """The strictest of these that has a hit: all words; without stopwords; then, beside the rarest word, without the
-    words that occur nowhere, then without the most common ones. Phrases and the rarest word always stay."""
+    words that occur nowhere, then without the most common ones. Phrases and the rarest word always stay.
+    Words are counted in full, so there is a rarest one at any size; with a `cap`, those that reach it count the same and none of them is the rarest."""
     strict = parse(query)
     if strict.any or strict.without or probe(rows, strict, 1):
         return strict

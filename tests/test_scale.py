@@ -117,6 +117,16 @@ def test_index_equals_scan(spark, texts, tmp_path):
     assert search.relaxed(index, "what is the apache qqq license").words == search.relaxed(texts, "what is the apache qqq license").words
 
 
+def test_relaxation_of_words_that_are_all_common(spark, tmp_path):
+    """Each word that occurs is in more rows than a probe counts."""
+    rows = spark.range(4300).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") < 100, "license").when(F.col("id") < 200, "apache").otherwise("The Apache License").alias("text"))
+    for table in (rows, SearchIndex.build(rows, f"file://{tmp_path}/index")):
+        found = search.relaxed(table, "what is the Apache qqqzzz License")
+        assert sorted(found.words) == ["apache", "license"] and "rarest" in found.note
+        assert search.matching(table, found).count() == 4100
+        assert search.relaxed(table, "what is the Apache qqqzzz License", cap=4096).note == ""
+
+
 def test_trigram_index_equals_scan(spark, texts, tmp_path):
     index = TrigramIndex.build(texts, f"file://{tmp_path}/grams")
     for pattern in (grep.Pattern(("apache",), fixed=True), grep.Pattern(("LICENSE,",), fixed=True, ignore_case=True), grep.Pattern((r"lic[a-z]+ the",)), grep.Pattern(("of",), fixed=True), grep.Pattern((r"\bthe\b",)), grep.Pattern(("apache x-ray", "Über"), fixed=True)):
